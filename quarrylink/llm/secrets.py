@@ -7,8 +7,8 @@ characters), ``access`` (access-key ids) and ``hex`` (24 or more lower-case hex
 gets an encoding (hex, base32 or base64, the smallest alphabet that holds it) and must pass, as a uniform draw
 from that alphabet would, chi-squared uniformity over binned symbols, the runs test about the middle symbol
 and lag-one serial correlation (each at RANDOM_ALPHA / 3).  It must also be a discovery against the null
-hypothesis of word-like text, whose neighbouring characters change class (lower, upper, digit, other) with
-probability WORD_CHANGE at most: the binomial tail p-value takes the run's length into account, and the
+hypothesis of word-like text, whose neighbouring letters and digits change class (lower, upper, digit; a capital
+before a small letter is no change) with probability WORD_CHANGE at most: the binomial tail p-value takes the run's length into account, and the
 Benjamini-Hochberg step-up rule holds the false-discovery rate of each text's runs at FDR.
 
 Defined results: null and empty texts have no spans; a null id stays null; repeated rows give one row each;
@@ -136,8 +136,8 @@ def looks_random(run: str) -> bool:
 
 def word_p(run: str) -> float:
     """Tail probability of as many class changes under the word-like null."""
-    kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in run]
-    n, t = len(kinds) - 1, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    kinds = [0 if c.islower() else 1 if c.isupper() else 2 for c in run if c.isalnum()]
+    n, t = max(0, len(kinds) - 1), sum(a != b and (a, b) != (1, 0) for a, b in zip(kinds, kinds[1:], strict=False))
     logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(WORD_CHANGE) + (n - i) * math.log1p(-WORD_CHANGE) for i in range(t, n + 1)]
     top = max(logs)
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
