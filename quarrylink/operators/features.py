@@ -58,8 +58,10 @@ def pipeline(pairs: DataFrame, name: str = "name_lex", address: str = "addr_lex"
 
 def meta(pairs: DataFrame, ce_score: str = "ce_score", name: str = "business_name", address: str = "business_address") -> DataFrame:
     """The 14 inputs of the tiered scorer, with signed and neutral values."""
-    qn, cn, qa, ca = (T.text_or_empty(x) for x in (f"q_{name}", f"c_{name}", f"q_{address}", f"c_{address}"))
-    an, bn, aa, ba = (F.lower(F.trim(T.to_ascii(x))) for x in (qn, cn, qa, ca))
+    # Columns of their own: a Python function cannot stand inside a lambda.
+    plain = {f"_{x}": F.lower(F.trim(T.to_ascii(T.text_or_empty(x)))) for x in (f"q_{name}", f"c_{name}", f"q_{address}", f"c_{address}")}
+    pairs = pairs.withColumns(plain)
+    an, bn, aa, ba = map(F.col, plain)
     no_q, no_c = T.missing_address(f"q_{address}"), T.missing_address(f"c_{address}")
     ce = F.col(ce_score)
     out = pairs.withColumns({
@@ -78,7 +80,7 @@ def meta(pairs: DataFrame, ce_score: str = "ce_score", name: str = "business_nam
         "ce_x_addr_jw": ce * F.col("addr_jw"),
         "name_x_addr": F.col("name_jw") * F.col("addr_jw"),
         "ce_x_street": ce * F.when(F.col("street_num_match") == 1, 1.0).otherwise(0.5),
-    })
+    }).drop(*plain)
 
 
 def vetoed(q_address: str, c_address: str, q_country: str, c_country: str):
