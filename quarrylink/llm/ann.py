@@ -38,6 +38,8 @@ LEAST_LEAVES = 48
 BLOCK_ROWS = 4000
 QUERY_EVERY = 50
 CLOSE = 1e-9
+#: Queries whose best a task holds before it hands them on.
+QUERIES_HELD = 100_000
 
 
 @dataclass
@@ -188,16 +190,25 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
     dealt = held.unionByName(asked).repartition("leaf", "block").sortWithinPartitions("leaf", "block")
 
     def rank(batches):
-        group, of = [], None
+        group, of, best = [], None, {}
 
-        def ranked():
+        def take():
+            """Ranks one block and merges it into what the task knows of its queries."""
             whole = pa.Table.from_batches(group)
             is_query = whole.column("query_id").is_valid().to_numpy()
             vectors = vectors_of(whole.column("vec").combine_chunks(), width)
             query_ids = whole.column("query_id").filter(pa.array(is_query)).to_pylist()
             ids = whole.column("ids").filter(pa.array(~is_query)).to_pylist()
-            best = best_in_block(query_ids, vectors[is_query], ids, vectors[~is_query], k)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in best], pa.int64()), pa.array([x[1] for x in best], pa.int64()), pa.array([x[2] for x in best], pa.float64())], names=["query_id", "vec_id", "score"])
+            for q, i, s in best_in_block(query_ids, vectors[is_query], ids, vectors[~is_query], k):
+                near = best.setdefault(q, {})
+                near[i] = max(s, near.get(i, s))
+                if len(near) > 4 * k:
+                    best[q] = dict(heapq.nsmallest(k, near.items(), key=lambda x: (-x[1], x[0])))
+
+        def told():
+            rows = [(q, i, s) for q, near in best.items() for i, s in heapq.nsmallest(k, near.items(), key=lambda x: (-x[1], x[0]))]
+            best.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.float64())], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -206,12 +217,15 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
             cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if of != (now := tuple(keys[a].tolist())) and group:
-                    yield ranked()
+                    take()
                     group = []
+                    if len(best) > QUERIES_HELD:
+                        yield told()
                 of = now
                 group.append(batch.slice(a, b - a))
         if group:
-            yield ranked()
+            take()
+        yield told()
 
     found = dealt.mapInArrow(rank, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
