@@ -38,6 +38,7 @@ LONG_WORD = 48
 #: Each byte's probability is multiplied by this, which keeps sums near 1; it is divided out of the logarithm.
 PER_BYTE = 20.0
 WORDS_KEPT = 300_000
+MERGE_PARTS = 64
 ASCII_LETTER = re.compile("[A-Za-z]")
 
 
@@ -217,11 +218,18 @@ def fit(table: PieceTable, languages: list[str], counts: dict[bytes, np.ndarray]
 
 
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """lang, text of the sample.  Ids are chosen without reading texts."""
+    """lang, text of the sample.  Ids are chosen without reading texts.
+
+    Every input partition hands on at most ``per_language`` ids of a language; MERGE_PARTS tasks a language merge
+    those, so that the last task of a language reads at most MERGE_PARTS times ``per_language`` ids at any size.
+    """
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where((id_remainder("doc_id") != 1) & F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").distinct()
+    ids = rows.select("doc_id", "lang", F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    chosen = ids.select("doc_id").distinct()
     return rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
 
 
