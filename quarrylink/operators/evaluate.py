@@ -101,6 +101,29 @@ def efficiency_weighted(f: Column, per_query: Column) -> Column:
     return F.when(per_query > 1, f / F.log(F.greatest(per_query, F.lit(2.0)))).otherwise(f)
 
 
+def threshold_table(truth: DataFrame, scored: DataFrame, corpus: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Retrieval quality and cost at each threshold, over the queries with truth.
+
+    recall (mean over queries), micro_recall, per_query (mean candidates), reduction (share of the corpus left out),
+    precision estimated as recall times true pairs a query over candidates a query, f05 and its efficiency-weighted
+    form.  Conditional sums count all thresholds in one pass; no pair is repeated for them.
+    """
+    flagged = scored.join(truth.select("query_id", "candidate_id", F.lit(1).alias("hit")), ["query_id", "candidate_id"], "left")
+    sums = []
+    for i, t in enumerate(thresholds):
+        passed = (F.round("score", 9) >= float(t)).cast("int")
+        sums += [F.sum(passed).alias(f"k{i}"), F.sum(passed * F.coalesce("hit", F.lit(0))).alias(f"h{i}")]
+    n_true = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_true"))
+    per = n_true.join(flagged.groupBy("query_id").agg(*sums), "query_id", "left").na.fill(0)
+    at = lambda i: F.struct(F.lit(float(thresholds[i])).alias("threshold"), F.avg(F.col(f"h{i}") / F.col("n_true")).alias("recall"), (F.sum(f"h{i}") / F.sum("n_true")).alias("micro_recall"), F.avg(f"k{i}").alias("per_query"))
+    row = per.agg(F.avg("n_true").alias("true_per_query"), F.array(*[at(i) for i in range(len(thresholds))]).alias("points"))
+    size = corpus.agg(F.count(F.lit(1)).alias("corpus"))
+    table = row.crossJoin(F.broadcast(size)).select("true_per_query", "corpus", F.explode("points").alias("p")).select("p.*", "true_per_query", "corpus")
+    k, r = F.col("per_query"), F.col("recall")
+    table = table.withColumn("precision", F.when(k > 0, r * F.col("true_per_query") / k).otherwise(0.0)).withColumn("f05", f_beta(F.col("precision"), r))
+    return table.withColumn("weighted_f05", efficiency_weighted(F.col("f05"), k)).withColumn("reduction", 1 - k / F.col("corpus")).drop("true_per_query", "corpus")
+
+
 def errors(queries: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """query_id, false_positives, false_negatives of the queries whose prediction differs from the truth."""
     t = truth.groupBy("query_id").agg(F.array_sort(F.collect_set("candidate_id")).alias("t"))
@@ -110,12 +133,42 @@ def errors(queries: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFr
     return both.where("t <> p").select("query_id", F.array_except("p", "t").alias("false_positives"), F.array_except("t", "p").alias("false_negatives"))
 
 
-def error_partition(queries: DataFrame, truth: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """How many queries only a, only b, both or neither get wrong."""
+def error_kinds(queries: DataFrame, truth: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """query_id, kind: only a, only b, both or neither get the query wrong."""
     wrong = lambda x, n: errors(queries, truth, x).select("query_id", F.lit(True).alias(n))
     both = queries.select("query_id").distinct().join(wrong(a, "a"), "query_id", "left").join(wrong(b, "b"), "query_id", "left")
     kind = F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "only_a").when(F.col("b"), "only_b").otherwise("neither")
-    return both.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return both.select("query_id", kind.alias("kind"))
+
+
+def error_partition(queries: DataFrame, truth: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """How many queries only a, only b, both or neither get wrong."""
+    return error_kinds(queries, truth, a, b).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def error_examples(kinds: DataFrame, n: int = 3) -> DataFrame:
+    """The first n queries of each kind of error."""
+    order = Window.partitionBy("kind").orderBy("query_id")
+    return kinds.where("kind <> 'neither'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def traps(wrong: DataFrame, truth: DataFrame, texts: DataFrame, country: str = "india") -> DataFrame:
+    """How many wrong queries have a known difficulty: non-ASCII text, a missing address, equal targets.
+
+    wrong: query_id.  texts: entity_id, text, no_address, country of queries and corpus.  One row: errors, each
+    trap's count, non-ASCII queries of ``country``, errors with any trap and their percentage (null without errors).
+    """
+    about = texts.select("entity_id", "text", F.col("text").rlike(r"[^\x00-\x7F]").alias("odd"), F.col("no_address").alias("bare"), (F.lower("country") == country).alias("here"))
+    targets = truth.join(wrong, "query_id", "left_semi").join(about.withColumnRenamed("entity_id", "candidate_id"), "candidate_id")
+    targets = targets.groupBy("query_id", "text").agg(F.count(F.lit(1)).alias("n"), F.max("odd").alias("odd"), F.max("bare").alias("bare"))
+    targets = targets.groupBy("query_id").agg(F.max("odd").alias("t_odd"), F.max("bare").alias("t_bare"), (F.max("n") > 1).alias("equal"))
+    own = wrong.select("query_id").distinct().join(about.withColumnRenamed("entity_id", "query_id"), "query_id", "left").join(targets, "query_id", "left")
+    yes = lambda *names: F.greatest(*[F.coalesce(F.col(n), F.lit(False)) for n in names], F.lit(False))
+    own = own.select(yes("odd", "t_odd").alias("odd"), yes("bare", "t_bare").alias("bare"), yes("equal").alias("equal"), yes("here").alias("here"))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    odd, bare, equal = F.col("odd"), F.col("bare"), F.col("equal")
+    row = own.agg(F.count(F.lit(1)).alias("errors"), n(odd).alias("non_ascii"), n(odd & F.col("here")).alias("cross_language"), n(bare).alias("missing_address"), n(equal).alias("equal_targets"), n(odd | bare | equal).alias("explained"))
+    return row.withColumn("explained_pct", F.when(F.col("errors") > 0, F.col("explained") * 100.0 / F.col("errors")))
 
 
 def examples(values: Column, n: int = 5) -> Column:

@@ -53,9 +53,28 @@ def benchmark_corpus(corpus: DataFrame, truth: DataFrame, noise: int, key: str =
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """Adds is_train: the first ``share`` of each class in hash order."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return df.withColumn("is_train", F.row_number().over(order) <= share * F.count(F.lit(1)).over(Window.partitionBy(label)))
+    """Adds is_train: the first ``share`` of each class in hash order.
+
+    A class may be most of the table, so rows are ranked inside 1,024 ranges of the hash; the counts of the ranges
+    before, a table of 1,024 rows a class, are added to those ranks.
+    """
+    rows = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_range", F.shiftright("_h", 54))
+    sizes = rows.groupBy(F.col(label).alias("_label"), "_range").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy("_label")
+    sizes = sizes.select("_label", F.col("_range").alias("_r"), (F.sum("_c").over(whole.orderBy("_range")) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("_n"))
+    place = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_h", key))
+    joined = rows.withColumn("_place", place).join(sizes, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn("is_train", F.col("_place") + F.col("_before") <= share * F.col("_n")).select(*df.columns, "is_train")
+
+
+def share_containing(df: DataFrame, column: str, words: list[str]) -> DataFrame:
+    """n, found, pct: rows whose lower-cased text holds one of the words between spaces; the whole table is read."""
+    text = F.lower(T.text_or_empty(F.col(column)))
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(text, F.lit(f" {w} "))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(hit.cast("long")), F.lit(0)).alias("found"))
+    return row.withColumn("pct", F.col("found") * 100.0 / F.col("n"))
 
 
 def fan_in(truth: DataFrame) -> DataFrame:

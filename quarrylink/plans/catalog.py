@@ -553,3 +553,88 @@ def benchmark_corpus(spark, sf):
 def matches_in_candidates(spark, sf):
     pairs = topk(spark, sf)
     return evaluate.not_in_candidates(pairs.where(F.round("score", 9) >= 0.5), pairs).agg(F.count(F.lit(1)).alias("outside"))
+
+
+# Sweeps over retrieval, error reports and splits
+
+THRESHOLDS = [round(0.1 + 0.04 * i, 2) for i in range(11)]
+
+
+@query(
+    f"WITH {TOP}, g AS (SELECT unnest({THRESHOLDS})::DOUBLE AS threshold), nt AS (SELECT query_id, count(*) AS n FROM truth GROUP BY 1), "
+    "x AS (SELECT g.threshold, nt.query_id, any_value(nt.n) AS n, count(*) FILTER (round(top.score, 9) >= g.threshold) AS k, count(t.query_id) FILTER (round(top.score, 9) >= g.threshold) AS h FROM nt CROSS JOIN g LEFT JOIN top ON top.query_id = nt.query_id LEFT JOIN truth t ON t.query_id = top.query_id AND t.candidate_id = top.candidate_id GROUP BY 1, 2), "
+    "m AS (SELECT threshold, avg(h / n) AS recall, sum(h) / sum(n) AS micro_recall, avg(k) AS per_query, avg(n) AS a, (SELECT count(*) FROM crp) AS c FROM x GROUP BY 1), "
+    f"est AS (SELECT *, CASE WHEN per_query > 0 THEN recall * a / per_query ELSE 0.0 END AS precision FROM m), f AS (SELECT *, {FB.format(p='precision', r='recall')} AS f05 FROM est) "
+    "SELECT threshold, round(recall, 6) AS recall, round(micro_recall, 6) AS micro_recall, round(per_query, 6) AS per_query, round(precision, 6) AS precision, round(f05, 6) AS f05, round(CASE WHEN per_query > 1 THEN f05 / ln(greatest(per_query, 2.0)) ELSE f05 END, 6) AS weighted_f05, round(1 - per_query / c, 6) AS reduction FROM f"
+)
+def efficiency_sweep(spark, sf):
+    table = evaluate.threshold_table(fixtures.truth(spark, sf), topk(spark, sf), fixtures.corpus(spark, sf), THRESHOLDS)
+    return rounded(table, "recall", "micro_recall", "per_query", "precision", "f05", "weighted_f05", "reduction")
+
+
+INDEX_GRID = [(0.02, 0.28, None), (0.3, 0.15, None), (0.3, 0.1, None), (0.3, 0.05, 20), (1.0, 0.1, 20)]
+
+
+def index_point_sql(max_df: float, threshold: float, k: int | None, name: str) -> str:
+    kept = f"round(score, 9) >= {threshold}" + (f" AND rank <= {k}" if k else "")
+    return f"SELECT {max_df}::DOUBLE AS max_df, {threshold}::DOUBLE AS threshold, {k or 0} AS k, (SELECT count(*) FROM {name} r JOIN truth t ON t.query_id = r.query_id AND t.candidate_id = r.candidate_id WHERE {kept}) / (SELECT count(*) FROM truth) AS micro_recall, (SELECT count(*) FROM {name} WHERE {kept}) / (SELECT count(*) FROM qry) AS per_query"
+
+
+INDEX_PARTS = [(f"i{n}", max_df, min(g[1] for g in INDEX_GRID if g[0] == max_df)) for n, max_df in enumerate(sorted({g[0] for g in INDEX_GRID}))]
+
+
+@query(
+    f"WITH {ENT}, "
+    + ", ".join(f"{postings_sql(n, BOTH, d)}, {pairs_sql(n, n + '_p', t)}, {n}_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, candidate_id) AS rank FROM {n}_p)" for n, d, t in INDEX_PARTS)
+    + ", z AS ("
+    + " UNION ALL ".join(index_point_sql(d, t, k, f"{n}_r") for d, t, k in INDEX_GRID for n, d2, _ in INDEX_PARTS if d == d2)
+    + ") SELECT max_df, threshold, k, round(micro_recall, 6) AS micro_recall, round(per_query, 6) AS per_query FROM z"
+)
+def index_sweep(spark, sf):
+    table = resolve.index_sweep(fixtures.queries(spark, sf), fixtures.corpus(spark, sf), fixtures.truth(spark, sf), text(), INDEX_GRID)
+    return rounded(table, "micro_recall", "per_query")
+
+
+@query(SQL["recall_at_k"].replace("SELECT k, round(recall, 6)", "SELECT min(k) AS k FROM (SELECT k, recall AS found, round(recall, 6)") + ") WHERE found >= 0.5")
+def smallest_k(spark, sf):
+    return evaluate.smallest_k(evaluate.at_k(fixtures.truth(spark, sf), topk(spark, sf), [1, 5, 10, 20, 30]), 0.5)
+
+
+SIDES = "te AS (SELECT query_id, list(candidate_id ORDER BY candidate_id) AS t FROM truth GROUP BY 1), pe AS (SELECT query_id, list(candidate_id ORDER BY candidate_id) AS p FROM pred GROUP BY 1), e AS (SELECT entity_id AS query_id, coalesce(t, []) AS t, coalesce(p, []) AS p FROM qry LEFT JOIN te ON te.query_id = entity_id LEFT JOIN pe ON pe.query_id = entity_id)"
+
+
+@query(f"WITH {TOP}, {PRED}, {SIDES} SELECT query_id, array_to_string(list_filter(p, lambda x: NOT list_contains(t, x)), ',') AS false_positives, array_to_string(list_filter(t, lambda x: NOT list_contains(p, x)), ',') AS false_negatives FROM e WHERE t <> p")
+def error_report(spark, sf):
+    found = evaluate.errors(query_ids(spark, sf), fixtures.truth(spark, sf), predicted(spark, sf))
+    return found.select("query_id", *[F.array_join(c, ",").alias(c) for c in ("false_positives", "false_negatives")])
+
+
+@query(f"WITH {TOP}, {wrong_sql('wa', 0.5)}, {wrong_sql('wb', 0.9)}, d AS (SELECT entity_id AS query_id, CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' ELSE 'only_b' END AS kind FROM (SELECT entity_id, entity_id IN (SELECT query_id FROM wa) AS a, entity_id IN (SELECT query_id FROM wb) AS b FROM qry) WHERE a OR b), n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY query_id) AS place FROM d) SELECT * FROM n WHERE place <= 3")
+def error_examples(spark, sf):
+    kinds = evaluate.error_kinds(query_ids(spark, sf), fixtures.truth(spark, sf), predicted(spark, sf, 0.5), predicted(spark, sf, 0.9))
+    return evaluate.error_examples(kinds)
+
+
+@query(
+    f"WITH {TOP}, {wrong_sql('w', 0.9)}, tx AS (SELECT entity_id, business_name || ' | ' || business_address || ' | ' || coalesce(country, '') AS text, business_address = '' AS bare, coalesce(country = 'de', false) AS here FROM ent), "
+    "o AS (SELECT w.query_id, regexp_matches(tx.text, '[^\\x00-\\x7F]') AS odd, bare, here FROM w JOIN tx ON entity_id = w.query_id), "
+    "g AS (SELECT t.query_id, bool_or(regexp_matches(tx.text, '[^\\x00-\\x7F]')) AS odd, bool_or(bare) AS bare, count(*) > count(DISTINCT tx.text) AS equal FROM truth t JOIN tx ON tx.entity_id = t.candidate_id WHERE t.query_id IN (SELECT query_id FROM w) GROUP BY 1), "
+    "y AS (SELECT o.odd OR coalesce(g.odd, false) AS odd, o.bare OR coalesce(g.bare, false) AS bare, coalesce(equal, false) AS equal, here FROM o LEFT JOIN g ON g.query_id = o.query_id) "
+    "SELECT count(*) AS errors, count(*) FILTER (odd) AS non_ascii, count(*) FILTER (odd AND here) AS cross_language, count(*) FILTER (bare) AS missing_address, count(*) FILTER (equal) AS equal_targets, count(*) FILTER (odd OR bare OR equal) AS explained, round(count(*) FILTER (odd OR bare OR equal) * 100.0 / nullif(count(*), 0), 6) AS explained_pct FROM y"
+)
+def trap_report(spark, sf):
+    wrong = evaluate.errors(query_ids(spark, sf), fixtures.truth(spark, sf), predicted(spark, sf, 0.9)).select("query_id")
+    texts = fixtures.entities(spark, sf).select("entity_id", T.assembled("business_name", "business_address", "country").alias("text"), (F.trim(T.text_or_empty("business_address")) == "").alias("no_address"), "country")
+    return rounded(evaluate.traps(wrong, fixtures.truth(spark, sf), texts, "de"), "explained_pct")
+
+
+@query(f"WITH {ENT} SELECT count(*) AS n, count(*) FILTER (contains(business_address, ' the ') OR contains(business_address, ' de ')) AS found, round(count(*) FILTER (contains(business_address, ' the ') OR contains(business_address, ' de ')) * 100.0 / count(*), 6) AS pct FROM ent")
+def address_words(spark, sf):
+    return rounded(profile.share_containing(fixtures.entities(spark, sf), "business_address", ["the", "de"]), "pct")
+
+
+@query("SELECT lang, count(*) AS n, floor(0.8 * count(*))::BIGINT AS n_train FROM documents GROUP BY 1")
+def stratified_split(spark, sf):
+    """Sizes of the split of documents by language."""
+    split = profile.stratified_split(fixtures.table(spark, sf, "documents"), "lang", "doc_id")
+    return split.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_train").cast("long")).alias("n_train"))

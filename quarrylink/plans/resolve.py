@@ -103,3 +103,30 @@ def union_of_views(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFr
     reverse = retrieve.scores(back.postings, back.transform(corpus, "entity_id", name), 0.01, strict=True)
     ranked["reverse"] = retrieve.reverse_top_k(reverse, 10)
     return retrieve.rrf(ranked)
+
+
+def index_sweep(queries: DataFrame, corpus: DataFrame, truth: DataFrame, text, grid: list[tuple[float, float, int | None]]) -> DataFrame:
+    """max_df, threshold, k (0 where unlimited), micro_recall, per_query at each grid point.
+
+    One index and one similarity join serve all points with the same max_df.  Truth outside the corpus is not counted.
+    """
+    ids = corpus.select(F.col("entity_id").alias("candidate_id"))
+    known = truth.join(ids, "candidate_id", "left_semi").select("query_id", "candidate_id", F.lit(1).alias("hit"))
+    totals = known.agg(F.count(F.lit(1)).alias("n_true")).crossJoin(queries.agg(F.count(F.lit(1)).alias("n_queries")))
+    out = None
+    for max_df in sorted({g[0] for g in grid}):
+        points = [g[1:] for g in grid if g[0] == max_df]
+        built = index.build(corpus, "entity_id", text, index.IndexConfig(max_df=max_df))
+        pairs = retrieve.scores(built.transform(queries, "entity_id", text), built.postings, min(t for t, _ in points))
+        if any(k for _, k in points):
+            pairs = retrieve.ranked(pairs)
+        flagged = pairs.join(known, ["query_id", "candidate_id"], "left")
+        sums = []
+        for i, (t, k) in enumerate(points):
+            passed = F.round("score", 9) >= t
+            passed = (passed & (F.col("rank") <= k) if k else passed).cast("int")
+            sums += [F.coalesce(F.sum(passed), F.lit(0)).alias(f"k{i}"), F.coalesce(F.sum(passed * F.coalesce("hit", F.lit(0))), F.lit(0)).alias(f"h{i}")]
+        rows = [F.struct(F.lit(max_df).alias("max_df"), F.lit(t).alias("threshold"), F.lit(k or 0).alias("k"), (F.col(f"h{i}") / F.col("n_true")).alias("micro_recall"), (F.col(f"k{i}") / F.col("n_queries")).alias("per_query")) for i, (t, k) in enumerate(points)]
+        part = flagged.agg(*sums).crossJoin(totals).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+        out = part if out is None else out.unionByName(part)
+    return out
