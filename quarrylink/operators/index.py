@@ -25,7 +25,7 @@ class IndexConfig:
 
 WORDS = IndexConfig()
 CHARACTERS = IndexConfig("char_wb", (2, 4), False, 1, 1.0, 50_000)
-NAME_VIEW = IndexConfig("char_wb", (2, 5))
+NAME_VIEW = IndexConfig("char_wb", (2, 5), max_df=1.0)
 UNSPACED_VIEW = IndexConfig("char", (3, 6), min_df=1, max_df=1.0)
 ADDRESS_VIEW = IndexConfig("word", (1, 2), max_df=1.0)
 

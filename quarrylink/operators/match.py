@@ -38,6 +38,18 @@ def score(model: PipelineModel, features: DataFrame, inputs: list[str]) -> DataF
     return model.transform(features.na.fill(0, inputs)).withColumn("probability_match", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def cross_validated(features: DataFrame, inputs: list[str], folds: int = 5, by: str = "query_id", seed: int = 42, **options) -> DataFrame:
+    """Every row with its fold and the probability of a model that saw no row of the fold; a key is in one fold."""
+    fold = F.pmod(F.xxhash64(F.col(by), F.lit(seed + 1)), F.lit(folds)).cast("int")
+    dealt = written(features.withColumn("fold", fold), "folds")
+    out = None
+    for i in range(folds):
+        model = train(dealt.where(F.col("fold") != i), inputs, seed=seed, **options)
+        part = score(model, dealt.where(F.col("fold") == i), inputs)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def importances(model: PipelineModel, inputs: list[str]) -> list[tuple[str, float]]:
     values = model.stages[-1].featureImportances.toArray()
     return sorted(zip(inputs, map(float, values), strict=True), key=lambda x: (-x[1], x[0]))

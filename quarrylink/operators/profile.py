@@ -10,6 +10,11 @@ from pyspark.sql.window import Window
 from quarrylink.functions import text as T
 
 
+def shape(df: DataFrame) -> DataFrame:
+    """n_rows, n_columns."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+
+
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, nulls, pct."""
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in columns])

@@ -11,6 +11,7 @@ from quarrylink.functions import similarity as S
 from quarrylink.functions import text as T
 from quarrylink.operators import evaluate, features, index, match, profile, retrieve
 from quarrylink.plans import fixtures, resolve
+from quarrylink.sources import io, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -633,6 +634,112 @@ def address_words(spark, sf):
     return rounded(profile.share_containing(fixtures.entities(spark, sf), "business_address", ["the", "de"]), "pct")
 
 
+# Further index kinds, features and sources
+
+CHARS = "flatten(list_transform([3, 4, 5, 6], lambda n: list_transform(range(1, length({0}) - n + 2), lambda i: substr({0}, i, n))))"
+WORD_LIST = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
+WORD_PAIRS = f"list_concat({WORD_LIST}, list_transform(range(1, len({WORD_LIST})), lambda i: {WORD_LIST}[i] || ' ' || {WORD_LIST}[i + 1]))"
+
+
+def indexed(spark, sf, text, config: index.IndexConfig, threshold: float) -> DataFrame:
+    built = index.build(fixtures.corpus(spark, sf), "entity_id", text, config)
+    pairs = retrieve.scores(built.transform(fixtures.queries(spark, sf), "entity_id", text), built.postings, threshold)
+    return rounded(retrieve.top_k(pairs, 10), "score")
+
+
+@query(rf"WITH {ENT}, {postings_sql('w', "replace(business_name, ' ', '')", 1.0, 1, CHARS)}, {pairs_sql('w', 'p', 0.3)}, {top_sql('p', 'top', 10)} SELECT query_id, candidate_id, round(score, 6) AS score, rank FROM top")
+def char_topk(spark, sf):
+    return indexed(spark, sf, F.regexp_replace("business_name", " ", ""), index.UNSPACED_VIEW, 0.3)
+
+
+@query(f"WITH {ENT}, {postings_sql('w', 'business_address', 1.0, 2, WORD_PAIRS)}, {pairs_sql('w', 'p', 0.2)}, {top_sql('p', 'top', 10)} SELECT query_id, candidate_id, round(score, 6) AS score, rank FROM top")
+def word_pair_topk(spark, sf):
+    return indexed(spark, sf, F.col("business_address"), index.ADDRESS_VIEW, 0.2)
+
+
+LIMITED = postings_sql("w", "business_name", 1.0, 1, WB, False).replace("count(*) AS df FROM w_tc GROUP BY 1", "count(*) AS df FROM w_tc GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 300")
+
+
+@query(f"WITH {ENT}, {LIMITED}, {pairs_sql('w', 'p', 0.4)}, {top_sql('p', 'top', 10)} SELECT query_id, candidate_id, round(score, 6) AS score, rank FROM top")
+def limited_vocabulary_topk(spark, sf):
+    """The 300 most frequent terms only, ties to the smaller term."""
+    return indexed(spark, sf, F.col("business_name"), index.IndexConfig("char_wb", (2, 4), False, 1, 1.0, 300), 0.4)
+
+
+@query()
+def six_view_union(spark, sf):
+    """All six views of the normalised texts; DuckDB has no NFKC (``rrf_union`` has the same union with SQL)."""
+    queries, corpus = (scratch.written(resolve.normalised(f(spark, sf)), "views") for f in (fixtures.queries, fixtures.corpus))
+    return rounded(resolve.union_of_views(queries, corpus), "rrf_score")
+
+
+@query()
+def pair_features_wide(spark, sf):
+    """All 19 model inputs; edit ratios have no SQL (``pair_features_native`` has the others)."""
+    return features.wide(attached(spark, sf), "business_name", "business_address").select("query_id", "candidate_id", *features.WIDE)
+
+
+def signed_sql(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 WHEN list_has_any({a}, {b}) THEN 1.0 ELSE -1.0 END::DOUBLE"
+
+
+STREETS = r"regexp_extract_all({}, '\b\d{{2,6}}\b')"
+FORMS_OF = "list_filter(string_split({}, ' '), lambda x: list_contains([" + ", ".join(f"'{w}'" for w in T.SUFFIX_TOKENS) + "], x))"
+MISSING = "(coalesce({}, '') IN ('', 'nan', 'none', 'na', 'n/a'))"
+
+
+@query(
+    f"{PAIR} SELECT query_id, candidate_id, {signed_sql(STREETS.format('qa'), STREETS.format('ca'))} AS street_num_match, {signed_sql(FORMS_OF.format('qn'), FORMS_OF.format('cn'))} AS legal_suffix_match, "
+    f"CASE WHEN coalesce(qc, '') IN ('', 'nan') OR coalesce(cc, '') IN ('', 'nan') THEN 0.0 WHEN qc = cc THEN 1.0 ELSE -1.0 END::DOUBLE AS country_sign, {MISSING.format('qa')} AS q_addr_missing, {MISSING.format('ca')} AS c_addr_missing FROM j"
+)
+def pair_signed_features(spark, sf):
+    return attached(spark, sf).select(
+        "query_id",
+        "candidate_id",
+        S.signed_overlap(S.street_numbers(F.col("q_business_address")), S.street_numbers(F.col("c_business_address"))).alias("street_num_match"),
+        S.signed_overlap(T.legal_suffixes(F.col("q_business_name")), T.legal_suffixes(F.col("c_business_name"))).alias("legal_suffix_match"),
+        S.signed_country(F.col("q_country"), F.col("c_country")).alias("country_sign"),
+        T.missing_address("q_business_address").alias("q_addr_missing"),
+        T.missing_address("c_business_address").alias("c_addr_missing"),
+    )
+
+
+@query()
+def gbt_cross_validated(spark, sf):
+    """Pair metrics of three-fold cross-validation; boosted trees have no SQL."""
+    inputs = ["score", "rank", "name_jaccard", "addr_jaccard", "name_3gram_jaccard", "country_match"]
+    truth = fixtures.truth(spark, sf).withColumn("label", F.lit(1))
+    rows = features.native(attached(spark, sf), "business_name", "business_address").join(truth, ["query_id", "candidate_id"], "left").na.fill(0, ["label"])
+    scored = match.cross_validated(rows.select("query_id", "candidate_id", "label", *inputs), inputs, folds=3, trees=3)
+    return evaluate.pair_sweep(scored, [0.3, 0.5, 0.7], score="probability_match")
+
+
+@query("SELECT page_id, regexp_replace(coalesce(url, ''), '[^0-9]', '', 'g') AS digits FROM pages")
+def phone_digits(spark, sf):
+    return fixtures.table(spark, sf, "pages").select("page_id", T.phone_digits("url").alias("digits"))
+
+
+@query("SELECT count(*) AS n_rows, 5 AS n_columns FROM documents")
+def eda_shape(spark, sf):
+    return profile.shape(fixtures.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+@query(f"WITH {ENT} SELECT entity_id, nullif(business_name, '') AS business_name, nullif(business_address, '') AS business_address, nullif(country, '') AS country FROM ent")
+def tsv_round_trip(spark, sf):
+    """Entities written as TSV and read again, where the empty field is null."""
+    path = scratch.new_path(spark, "tsv")
+    fixtures.entities(spark, sf).write.csv(path, sep="\t", header=True, quote="", emptyValue="")
+    return io.read_tsv(spark, path)
+
+
+@query(f"WITH {ENT} SELECT DISTINCT entity_id FROM crp")
+def id_reader(spark, sf):
+    """The first column of a written table."""
+    path = scratch.new_path(spark, "ids")
+    fixtures.corpus(spark, sf).write.csv(path, sep="\t", header=True, quote="", emptyValue="")
+    return io.read_ids(spark, path)
+
+
 @query("SELECT lang, count(*) AS n, floor(0.8 * count(*))::BIGINT AS n_train FROM documents GROUP BY 1")
 def stratified_split(spark, sf):
     """Sizes of the split of documents by language."""

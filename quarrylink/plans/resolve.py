@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -42,6 +42,14 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.withColumn("name_lex", T.clean_name("business_name", sort=True)).withColumn("addr_lex", T.clean_address("business_address", sort=True))
 
 
+def lexical_text(df: DataFrame, sort: bool = False):
+    """Normalised name, address and country, and the domain and phone digits of tables that have url and phone."""
+    name, address = (F.col(c) if c in df.columns else F.lit("") for c in ("business_name", "business_address"))
+    parts = [T.clean_name(name, sort=sort), T.clean_address(address, sort=sort), T.assembled("country") if "country" in df.columns else F.lit("")]
+    parts += [f(c) for c, f in (("url", T.domain), ("phone", T.phone_digits)) if c in df.columns]
+    return F.concat_ws(" | ", *parts)
+
+
 def search_text():
     return F.concat_ws(" ", "name_lex", "addr_lex")
 
@@ -88,18 +96,23 @@ def resolve(queries: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     return result, listed
 
 
-def union_of_views(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:
-    """Six retrieval views joined by reciprocal rank: names, unspaced names, addresses, both, reverse, words."""
+def union_of_views(queries: DataFrame, corpus: DataFrame, k: int = 20, max_df: float = 1.0) -> DataFrame:
+    """Six retrieval views joined by reciprocal rank: names, unspaced names, addresses, both, reverse, words.
+
+    No view cuts frequent terms but the last; ``max_df`` does in all of them, which large tables need: a posting
+    list's cost grows with the product of both sides' frequencies.
+    """
     name, address = F.col("name_lex"), F.col("addr_lex")
     unspaced = F.regexp_replace("name_lex", " ", "")
     views = {"name": (name, index.NAME_VIEW), "nospace": (unspaced, index.UNSPACED_VIEW), "address": (address, index.ADDRESS_VIEW), "hvt": (search_text(), index.IndexConfig(max_df=0.5))}
+    cut = lambda config: replace(config, max_df=min(config.max_df, max_df))
     pairs = {}
     for label, (text, config) in views.items():
-        built = index.build(corpus, "entity_id", text, config)
+        built = index.build(corpus, "entity_id", text, cut(config))
         pairs[label] = retrieve.scores(built.transform(queries, "entity_id", text), built.postings, 0.01, strict=True)
     ranked = {label: retrieve.top_k(p, k) for label, p in pairs.items()}
     ranked["combo"] = retrieve.top_k(retrieve.combined(pairs["name"], pairs["address"]), k)
-    back = index.build(queries, "entity_id", name, index.NAME_VIEW)
+    back = index.build(queries, "entity_id", name, cut(index.NAME_VIEW))
     reverse = retrieve.scores(back.postings, back.transform(corpus, "entity_id", name), 0.01, strict=True)
     ranked["reverse"] = retrieve.reverse_top_k(reverse, 10)
     return retrieve.rrf(ranked)

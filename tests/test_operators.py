@@ -77,6 +77,21 @@ def test_round_trips(spark, entities, tmp_path):
     assert [r[0] for r in io.unfinished(spark, todo, out).collect()] == [2]
 
 
+def test_lexical_text(spark):
+    row = spark.createDataFrame([("Harbor Alliance Inc", "45 Goff St", " US ", "https://www.harbor.example:80/x", "+1 (607) 555")], "business_name string, business_address string, country string, url string, phone string")
+    assert row.select(resolve.lexical_text(row)).first()[0] == "harbor alliance | 45 goff street | us | harbor.example:80 | 1607555"
+    bare = row.select("business_name").withColumn("business_name", F.lit(None).cast("string"))
+    assert bare.select(resolve.lexical_text(bare)).first()[0] == " |  | "
+
+
+def test_cross_validation_scores_every_row_once(spark):
+    rows = spark.range(400).selectExpr("concat('q', id div 4) AS query_id", "id AS candidate_id", "id % 2 AS x", "CAST(id % 2 AS INT) AS label")
+    got = match.cross_validated(rows, ["x"], folds=3, trees=2).collect()
+    assert sorted(r["candidate_id"] for r in got) == list(range(400))
+    assert all((r["probability_match"] > 0.5) == (r["label"] == 1) for r in got)
+    assert max(len({r["fold"] for r in got if r["query_id"] == q}) for q in {r["query_id"] for r in got}) == 1
+
+
 def test_sample_is_repeatable(spark, entities):
     a, b = (profile.sample_exact(entities, 3, "entity_id").collect() for _ in range(2))
     assert a == b and len(a) == 3
