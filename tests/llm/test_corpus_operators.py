@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quarrylink.llm import ann, decontaminate, line_dedup, queries, simhash, substring_dedup
+from quarrylink.llm import ann, decontaminate, line_dedup, queries, similar, simhash, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -222,3 +222,41 @@ def test_pipeline_stages(spark, tmp_path):
     assert {1, 2, 3} <= kept[2] and 7 not in kept[3] and {1, 2, 3} <= kept[3]
     assert c.run(spark, str(tmp_path)).count() == len(kept[3])
     assert not list(Path(tmp_path).glob("quarrylink*"))
+
+
+def five_word_sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("list_rows", [50, 3])
+def test_similar_groups_against_brute_force(spark, monkeypatch, list_rows):
+    monkeypatch.setattr(similar, "LIST_ROWS", list_rows)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", " ", "one two", "One  two", "one two three"]
+    for _ in range(25):
+        base = rng.choices(words, k=rng.randint(5, 120))
+        for _ in range(rng.randint(1, 8)):
+            copy = base[: rng.randint(len(base) * 3 // 4, len(base))]
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    sets = [five_word_sets(x) for x in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for i, j in linked:
+        root = [root[j] if r == root[i] else r for r in root]
+    got = {r["key"]: r["root"] for r in similar.groups(spark.createDataFrame(list(enumerate(texts)), "key int, text string")).collect()}
+    assert len(got) == len(texts) and any(simhash.popcount(np.uint64((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])) & (2**64 - 1))) > 3 for i, j in linked)
+    assert all((got[i] == got[j]) == (root[i] == root[j]) for i in range(len(sets)) for j in range(i))
+
+
+def test_near_duplicates_stage_takes_near_copies(spark, tmp_path):
+    import corpus_pipeline as c
+
+    words = [f"word{i}" for i in range(100)]
+    near = " ".join(words[:40] + ["other", "names"] + words[42:])
+    far = " ".join(w if i % 10 else "far" for i, w in enumerate(words))
+    kept = c.near_duplicates(spark, frame(spark, [(2, " ".join(words)), (7, near), (3, far)]), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
