@@ -260,3 +260,12 @@ def test_near_duplicates_stage_takes_near_copies(spark, tmp_path):
     far = " ".join(w if i % 10 else "far" for i, w in enumerate(words))
     kept = c.near_duplicates(spark, frame(spark, [(2, " ".join(words)), (7, near), (3, far)]), str(tmp_path))
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+
+
+def test_near_duplicates_stage_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as c
+
+    text = lambda n: " ".join(f"word{n}x{i}" for i in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (5, text(3)), (5, text(5)), (5, text(6)), (5, text(6)), (None, text(6)), (None, None), (9, "")]
+    kept = c.near_duplicates(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(None, text(1)), (None, text(2)), (3, text(3)), (5, text(5)), (5, text(6)), (9, "")], key=str)
