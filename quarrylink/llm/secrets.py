@@ -4,7 +4,8 @@ Base spans (code points, end exclusive): ``assign`` (a credential name, a separa
 characters), ``access`` (access-key ids) and ``hex`` (24 or more lower-case hex digits).
 
 ``random`` spans are added by the battery.  Each run of 20 or more token characters that touches no base span
-gets an encoding (hex, base32 or base64, the smallest alphabet that holds it) and must pass, as a uniform draw
+(an equals sign ends a run, so that of NAME=value the value is tested alone; signs that no token character follows
+are padding and belong to the span) gets an encoding (hex, base32 or base64, the smallest alphabet that holds it) and must pass, as a uniform draw
 from that alphabet would, chi-squared uniformity over binned symbols, the runs test about the middle symbol
 and lag-one serial correlation (each at RANDOM_ALPHA / 3).  It must also be a discovery against the null
 hypothesis of word-like text, whose neighbouring letters and digits change class (lower, upper, digit; a capital
@@ -48,7 +49,7 @@ def byte_class(letters: str) -> np.ndarray:
 
 
 HEX_BYTES = byte_class("0123456789abcdef")
-TOKEN_BYTES = byte_class("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+TOKEN_BYTES = byte_class("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
 
 def long_runs(raw: np.ndarray, held: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -143,9 +144,17 @@ def word_p(run: str) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
+def padded(data: bytes, raw: np.ndarray, end: int) -> int:
+    """Where a run with its padding ends; equals signs before another token character are none."""
+    after = end
+    while data[after : after + 1] == b"=":
+        after += 1
+    return end if after < len(data) and TOKEN_BYTES[raw[after]] else after
+
+
 def random_spans(text: str, data: bytes, raw: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     at = point_of(data, len(text))
-    runs = [(at(s), at(e)) for s, e in long_runs(raw, TOKEN_BYTES, MIN_RANDOM)]
+    runs = [(at(s), at(padded(data, raw, e))) for s, e in long_runs(raw, TOKEN_BYTES, MIN_RANDOM)]
     runs = [(s, e) for s, e in runs if not any(s < b and a < e for _, a, b in base)]
     tested = sorted((word_p(text[s:e]), s, e) for s, e in runs)
     cut = max((i for i, (p, _, _) in enumerate(tested, 1) if p <= FDR * i / len(tested)), default=0)

@@ -106,6 +106,15 @@ def test_battery_tells_random_from_words():
     assert hits >= 190 and words == 0
 
 
+def test_battery_tests_the_value_of_a_name_alone():
+    rng = random.Random(6)
+    letters = secrets.ALPHABETS["base64"][:62]
+    for name in ("AUTH=", "private_key=", "session==", "?sig="):
+        values = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(100)]
+        assert sum(secrets.scan(f"é {name}{v} here") == [("random", 2 + len(name), 42 + len(name))] for v in values) >= 95, name
+        assert sum(secrets.scan(f"{name}{v}== here") == [("random", len(name), 42 + len(name))] for v in values) >= 95, name
+
+
 def test_secrets_odd_rows(spark, odd):
     assert secrets.find_secrets(odd).count() == len(ODD)
     assert secrets.find_secrets(odd.limit(0)).count() == 0
