@@ -13,7 +13,7 @@ average words, so that it stays below 1 on mixed texts.
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or where no language could be
 learned; a null language is not learned; a null id is not learned from and stays null in the result; ties go to
 the language first in alphabetical order; repeated rows give one row each; extra columns are ignored.  Whole
-texts are scored, however long; words of over LONG_WORD bytes are summed with rescaling.
+texts are scored, however long; words of over LONG_WORD bytes are learned and scored with rescaled sums.
 """
 
 from __future__ import annotations
@@ -183,6 +183,27 @@ def has_letter(text: str) -> bool:
     return bool(ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
+def add_long(out: np.ndarray, model: Model, word: bytes, weight: np.ndarray) -> None:
+    """Adds one word's expected piece counts (forward-backward on the logarithms of the sums)."""
+    n = len(word)
+    edges = [(end - back, end, piece) for end in range(1, n + 1) for back in range(1, min(end, MAX_PIECE) + 1) if (piece := model.number.get(word[end - back : end])) is not None]
+    up, down = np.zeros((2, n + 1, out.shape[1]))
+    by_end, by_start = [[[] for _ in range(n + 1)] for _ in range(2)]
+    for start, end, piece in edges:
+        by_end[end].append((start, piece))
+        by_start[start].append((end, piece))
+    for end in range(1, n + 1):
+        starts, pieces = map(list, zip(*by_end[end], strict=True))
+        total = (np.exp(up[starts] - up[end - 1]) * model.scaled[pieces]).sum(axis=0)
+        up[end] = up[end - 1] + np.log(total)
+    for start in range(n - 1, -1, -1):
+        ends, pieces = map(list, zip(*by_start[start], strict=True))
+        total = (np.exp(down[ends] - down[start + 1]) * model.scaled[pieces]).sum(axis=0)
+        down[start] = down[start + 1] + np.log(total)
+    starts, ends, pieces = map(list, zip(*edges, strict=True))
+    np.add.at(out, pieces, weight * np.exp(up[starts] + down[ends] - up[n]) * model.scaled[pieces])
+
+
 def expect(table: PieceTable, probability: np.ndarray, counts: dict[bytes, np.ndarray]) -> np.ndarray:
     """Expected piece counts by language over all segmentations of counted words (forward-backward)."""
     model = Model(table, [""] * probability.shape[1], probability)
@@ -203,6 +224,9 @@ def expect(table: PieceTable, probability: np.ndarray, counts: dict[bytes, np.nd
                 used = ahead[start, rows] * model.scaled[pieces] * back[end, rows] * share[rows]
                 for k in range(out.shape[1]):
                     out[:, k] += np.bincount(pieces, used[:, k], len(out))
+    for word in counts:
+        if len(word) > LONG_WORD:
+            add_long(out, model, word, counts[word])
     return out
 
 

@@ -139,6 +139,18 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(model._forward_long(long[:30]), model.forward([long[:30]])[0])
 
 
+def test_long_words_are_learned(monkeypatch):
+    table = langid.PieceTable([bytes((i,)) for i in range(256)] + [b" a", b"ab", b" ab", b"aba"])
+    words = {b" " + b"ab" * 15: np.array([3.0, 0.0]), b" " + b"abc" * 14: np.array([1.0, 2.0])}
+    p = np.random.default_rng(0).random((260, 2))
+    want = langid.expect(table, p / p.sum(axis=0), words)
+    monkeypatch.setattr(langid, "LONG_WORD", 8)
+    assert np.allclose(langid.expect(table, p / p.sum(axis=0), words), want) and want.sum() > 0
+    counts = {b" " + b"ab" * 2000: np.array([1.0, 0.0]), b" " + b"cd" * 2000: np.array([0.0, 1.0])}
+    logs = langid.fit(table, ["x", "y"], counts).forward([b" " + b"ab" * 40, b" " + b"cd" * 40])
+    assert logs[0, 0] > logs[0, 1] + 10 and logs[1, 1] > logs[1, 0] + 10
+
+
 def test_language_accuracy_and_edges(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(docs, tokenizer_path(), per_language=60)
