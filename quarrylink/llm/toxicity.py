@@ -41,7 +41,6 @@ NEGATION_REACH = 3
 STEM_LENGTHS = (5, 6, 7, 8)
 LEAST_TEXTS = 4
 LEAST_SHARE = 0.95
-MOST_ARCS = 5000
 
 # The word lists of the grammar (English, French, German, Spanish).
 INSULTS = "asshole bastard bitch cretin dumbass fool idiot imbecile jerk loser moron pathetic scum stupid trash worthless connard crétin imbécile salaud arschloch dummkopf idiotin schwachkopf estúpido idiota imbécil pendejo".split()
@@ -231,8 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     found = map_batches(first, arcs, "arcs array<string>, label int").select(F.explode("arcs").alias("arc"), "label")
     tally = found.groupBy("arc").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     tally = tally.where((F.col("t") >= LEAST_TEXTS) & (F.col("t") >= LEAST_SHARE * (F.col("t") + F.col("c"))) | F.col("arc").isin(INSULTS))
-    kept = tally.orderBy(F.desc("t"), "arc").limit(MOST_ARCS).collect()
-    lexicon = lexicon_of({r["arc"]: (r["t"], r["c"]) for r in kept}, sizes.get(1, 0), sizes.get(0, 0))
+    lexicon = lexicon_of({r["arc"]: (r["t"], r["c"]) for r in tally.collect()}, sizes.get(1, 0), sizes.get(0, 0))
 
     def weigh():
         finder = lexicon.finder()
@@ -245,7 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
 
 def score(docs: DataFrame, grader: Grader, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted, clause_weight.  The grammar's size is bounded by MOST_ARCS."""
+    """doc_id, held_out, score, predicted, clause_weight.  The grammar's size is bounded by the labelled sample."""
 
     def make():
         finder = grader.lexicon.finder()

@@ -205,3 +205,13 @@ def test_grammar_composes():
     assert aimed == toxicity.clause_weight(sign("IOY")) > plain
     assert toxicity.clause_weight(sign("NOI")) < plain and toxicity.clause_weight(sign("ROOOOI")) < plain
     assert toxicity.clause_weight(sign("YT")) > toxicity.clause_weight(sign("OT")) > 0 == toxicity.clause_weight(sign("OO"))
+
+
+def test_no_insult_arc_is_cut(spark):
+    from itertools import islice, product
+
+    many = " ".join("".join(x) for x in islice(product("bcdfghjklmnpqrstvwxz", repeat=4), 5200))
+    texts = [(i, f"{many} {'rare' if i % 2 else 'none'} {i}", 1) for i in range(60)] + [(100 + i, f"the word idiot is in a calm text {i}", 0) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).lexicon
+    assert "rare" in lexicon.words and "idiot" not in lexicon.words and "stupid" in lexicon.words
