@@ -255,11 +255,14 @@ def test_similar_groups_against_brute_force(spark, monkeypatch, list_rows):
 def test_near_duplicates_stage_takes_near_copies(spark, tmp_path):
     import corpus_pipeline as c
 
-    words = [f"word{i}" for i in range(100)]
-    near = " ".join(words[:40] + ["other", "names"] + words[42:])
-    far = " ".join(w if i % 10 else "far" for i, w in enumerate(words))
-    kept = c.near_duplicates(spark, frame(spark, [(2, " ".join(words)), (7, near), (3, far)]), str(tmp_path))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+    rows = []
+    for n in range(12):
+        words = [f"word{n}x{i}" for i in range(100)]
+        near = " ".join(words[:40] + ["other", "names", "here"] + words[43:])
+        far = " ".join(w if i % 10 else "far" for i, w in enumerate(words))
+        rows += [(n, " ".join(words)), (100 + n, near), (200 + n, far)]
+    kept = c.near_duplicates(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(12), *range(200, 212)]
 
 
 def test_near_duplicates_stage_with_null_and_repeated_ids(spark, tmp_path):
