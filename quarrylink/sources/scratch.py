@@ -7,12 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that this process has written and not yet deleted.
+PATHS: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a folder of our own, which only a single JVM can share."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quarrylink-")
         sc.setCheckpointDir(base)
     return base
@@ -26,4 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` there and read it back: cuts the lineage, and later steps survive lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    PATHS.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, paths: set[str]) -> None:
+    """Delete written tables that no later step reads."""
+    jvm = spark.sparkContext._jvm
+    for path in paths & PATHS:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        PATHS.discard(path)
