@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: bounds a worker's memory when texts are very long.
-BATCH_ROWS = 1000
+from quarrylink.sources.scratch import written
+
+__all__ = ["id_and_text", "id_remainder", "is_held_out", "map_batches", "parts", "table", "written"]
+
+#: Rows and bytes that a worker takes at a time: bounds its memory when texts are many or very long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +34,19 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most BATCH_ROWS rows and, but for single rows, BATCH_BYTES bytes."""
+    at = 0
+    while at < batch.num_rows:
+        rows = min(BATCH_ROWS, batch.num_rows - at)
+        while rows > 1 and batch.slice(at, rows).nbytes > BATCH_BYTES:
+            rows //= 2
+        yield batch.slice(at, rows)
+        at += rows
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """One output batch per input batch of at most BATCH_ROWS rows.
+    """One output batch per slice of an input batch, see ``parts``.
 
     ``make`` runs once per task and returns the function that turns a dict of column lists into another;
     heavy set-up (automata, tokenizers) belongs in ``make``.
@@ -47,27 +60,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in parts(batch):
                 work = work or make()
                 out = work({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="quarrylink-")
-        sc.setCheckpointDir(base)
-    return base
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps survive lost executors and share one computation."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/quarrylink-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
