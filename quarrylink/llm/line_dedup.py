@@ -5,12 +5,13 @@ rolling hash is smaller than those of the line before and the line after.  Such
 around it alone, so that chunks find their boundaries again after lines were put in or taken out, and no chunk of
 a text with several lines has fewer than two.  A chunk of two or more lines that occurs more than once is kept
 where it occurs first, by doc_id and then by place, and removed elsewhere.  Occurrences are gathered by hash and
-compared as bytes: texts are grouped by the chunk itself, and a hash shared by different chunks removes nothing.
+compared as bytes: texts are grouped by the chunk itself.  A row's chunks find their group by the hash and the MD5
+digest together, so that two chunks that share a 64-bit hash are still told apart and both lose their repeats.
 
 Defined results: a null text stays null and the empty text empty; a text all of whose chunks go becomes empty;
 rows with a null id lose what any row with an id has and are never the first; repeated rows (the same id and
-text) are each treated alike, so the first row's copies keep what it keeps; other columns pass through; an empty
-table gives an empty table.  Nothing is capped: a text may have any number of lines.
+text) are each treated alike, so the first row's copies keep what it keeps; other columns pass through, whatever
+their names; an empty table gives an empty table.  Nothing is capped: a text may have any number of lines.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylink.llm.common import written
+
 MULTIPLIER, MODULUS = 1_000_003, 2_147_483_647
 LEAST_LINES = 2
-#: Names that no column of a caller's table should have; checked.
-WORK = ["_ql_id", "_ql_text", "_ql_key", "_ql_lines", "_ql_hashes", "_ql_rolled", "_ql_cuts", "_ql_drop"]
 
 
 def line_hash(line: Column) -> Column:
@@ -52,34 +53,42 @@ def chunk(i: Column) -> Column:
 
 
 def chunk_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (a hash of the text), place, chunk, hash for each chunk of two or more lines."""
+    """id, key (a hash of the text), place, chunk, hash, digest for each chunk of two or more lines."""
     rows = chunked(df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL"), "i", "t")
     chunks = F.transform(F.sequence(F.lit(0), F.size("_ql_cuts") - 2), lambda i: F.when(F.size(chunk(i)) >= LEAST_LINES, F.array_join(chunk(i), "\n")))
     rows = rows.select(F.col("_ql_id").alias("id"), F.col("_ql_key").alias("key"), F.posexplode(chunks).alias("place", "chunk")).where("chunk IS NOT NULL")
-    return rows.withColumn("hash", F.xxhash64("chunk"))
+    return rows.withColumn("hash", chunk_hash(F.col("chunk"))).withColumn("digest", F.unhex(F.md5("chunk")))
+
+
+def chunk_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def removals(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key, drop: the places of the chunks that go, for rows that lose any."""
+    """id, key, drop: the places of the chunks that go, for rows that lose any.
+
+    A row's places are gathered before the look-up, and what is looked up is a written table, so that the rows of a
+    chunk that very many texts hold can be dealt to several tasks.
+    """
     rows = chunk_rows(df, id_col, text_col)
-    same = rows.groupBy("hash", "chunk").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    known = same.groupBy("hash").agg(F.count(F.lit(1)).alias("chunks"), F.max("n").alias("n"), F.min("first").alias("first"))
-    known = known.where("chunks = 1 AND n > 1 AND first IS NOT NULL").select("hash", "first")
+    same = rows.groupBy("hash", "digest", "chunk").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    known = written(same.where("n > 1 AND first IS NOT NULL").select("hash", "digest", "first"), "chunks")
     # Rows that repeat id and text have the same places, which count once.
-    own = rows.select("id", "key", "place", "hash").join(known, "hash").groupBy("id", "key", "hash", "first").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    own = rows.groupBy("id", "key", "hash", "digest").agg(F.array_sort(F.collect_set("place")).alias("places"))
     later = F.when(F.col("id") == F.col("first"), F.slice("places", 2, F.greatest(F.size("places") - 1, F.lit(0)))).otherwise(F.col("places"))
-    return own.select("id", "key", later.alias("drop")).where("size(drop) > 0").groupBy("id", "key").agg(F.flatten(F.collect_list("drop")).alias("drop"))
+    told = own.join(known, ["hash", "digest"]).select("id", "key", later.alias("drop")).where("size(drop) > 0")
+    return told.groupBy("id", "key").agg(F.flatten(F.collect_list("drop")).alias("drop"))
 
 
 def with_kept_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with its working columns and _ql_drop; ``kept`` reads them."""
-    if clash := set(WORK) & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns {sorted(clash)} are used inside")
+    """``row`` (a struct of ``df``'s columns) with working columns and _ql_drop; ``kept_lines`` reads them."""
     drop = removals(df, id_col, text_col).select(F.col("id").alias("_ql_of"), F.col("key").alias("_ql_of_key"), F.col("drop").alias("_ql_drop"))
+    # In a struct no column's name can clash with a working one.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("_ql_i"), F.col(f"`{text_col}`").cast("string").alias("_ql_t"))
     # The hash of a null text is never looked up: such a row has no removals.
-    rows = df.withColumn("_ql_key", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    joined = rows.join(drop, F.col(f"`{id_col}`").eqNullSafe(F.col("_ql_of")) & (F.col("_ql_key") == F.col("_ql_of_key")), "left").drop("_ql_of", "_ql_of_key", "_ql_key")
-    return chunked(joined, id_col, text_col)
+    rows = rows.withColumn("_ql_key", F.xxhash64("_ql_t"))
+    joined = rows.join(drop, F.col("_ql_i").eqNullSafe(F.col("_ql_of")) & (F.col("_ql_key") == F.col("_ql_of_key")), "left").drop("_ql_of", "_ql_of_key", "_ql_key")
+    return chunked(joined, "_ql_i", "_ql_t")
 
 
 def kept_lines() -> Column:
@@ -89,11 +98,10 @@ def kept_lines() -> Column:
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the text column cut."""
+    """``df`` with the text column cut.  The result is a written table: what a caller does with the text cannot repeat the work."""
     rows = with_kept_lines(df, id_col, text_col)
-    # A filter that a caller puts on the text must not be pushed below, where it would repeat the work for every use.
-    cut = F.when(F.rand() >= 0, F.array_join(kept_lines(), "\n"))
-    return rows.select(*[cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    cut = F.array_join(kept_lines(), "\n")
+    return written(rows.select(*[cut.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns]), "lines")
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,4 +110,4 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.withColumn("_ql_kept", kept_lines())
     lines = F.when(F.col("_ql_text").isNotNull(), F.size("_ql_lines")).otherwise(0).cast("bigint")
     left = F.when(F.col("_ql_text").isNotNull(), F.size("_ql_kept")).otherwise(0).cast("bigint")
-    return rows.select("doc_id", lines.alias("n_lines"), (lines - left).alias("n_removed"), F.sha2(F.encode(F.array_join("_ql_kept", "\n"), "UTF-8"), 256).alias("kept_sha256"))
+    return rows.select("row.doc_id", lines.alias("n_lines"), (lines - left).alias("n_removed"), F.sha2(F.encode(F.array_join("_ql_kept", "\n"), "UTF-8"), 256).alias("kept_sha256"))
