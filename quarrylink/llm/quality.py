@@ -1,13 +1,13 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text's features are indicators of its byte n-grams (1 to 3 bytes), of its words and of words repeated in a
-row, hashed to BUCKETS.  Each
-indicator is scaled by its class log-count ratio; a linear model with squared hinge loss is fitted to the scaled
-rows, each of unit length, by dual coordinate descent, classes weighted evenly.  A logistic curve fitted to the
+A text's features are indicators of its byte n-grams (1 to 3 bytes), of its words, hashed to BUCKETS, and of words
+said again at once.  Each indicator is scaled by its class log-count ratio; a linear model with hinge loss is fitted
+to the scaled rows, each of unit length, by dual coordinate descent, classes weighted evenly.  A logistic curve fitted to the
 margins of a second part of the sample, which the weights never saw, turns margins into scores.
 
 The model is fitted on a bounded sample: at most TRAIN_ROWS labelled rows, those with the smallest xxhash64 of
-their id; only their hashed features reach the driver.
+their id; only their hashed features reach the driver, as a compressed bitmap of (BUCKETS + REPEATS) / 8 bytes a row
+at most.
 
 Defined results: null and empty texts are scored as texts without features; with no labelled rows, or one
 class only, every score is that class's share (0.5 with no rows); a null id or label is not learned from;
@@ -16,6 +16,7 @@ repeated rows give one row each; extra columns are ignored.  Whole texts are rea
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,7 @@ COST = 1.0
 EPOCHS = 10
 #: Indicators of a word said again at once, up to so many times in a row.
 REPEATS = 4
+FEATURES = BUCKETS + REPEATS
 
 
 def features(text: str | None) -> np.ndarray:
@@ -47,15 +49,29 @@ def features(text: str | None) -> np.ndarray:
     hashed = (np.concatenate(grams) * np.uint32(2654435761)) >> np.uint32(14)
     hash_of = xxhash.xxh3_64_intdigest
     words = np.fromiter((hash_of(w) & (BUCKETS - 1) for w in data.split()), np.uint32)
-    seen = np.zeros(BUCKETS, bool)
+    seen = np.zeros(FEATURES, bool)
     seen[hashed] = True
     seen[words] = True
-    same = words[1:] == words[:-1]
-    for n in range(1, REPEATS + 1):
-        seen[hash_of(b"repeated", n) & (BUCKETS - 1)] = len(same) >= n and bool(same.all() if n == len(same) else np.logical_and.reduce([same[i : len(same) - n + 1 + i] for i in range(n)]).any())
+    run = same = words[1:] == words[:-1]
+    for n in range(REPEATS):
+        if not run.any():
+            break
+        seen[BUCKETS + n] = True
+        run = run[:-1] & same[n + 1 :]
     return np.flatnonzero(seen).astype(np.int32)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """The features as a compressed bitmap."""
+    seen = np.zeros(FEATURES, bool)
+    seen[found] = True
+    return zlib.compress(np.packbits(seen).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8), count=FEATURES)).astype(np.int32)
+
+
 @dataclass
 class Classifier:
     """``weights`` already hold the log-count ratios; a row is scaled to unit length by ``ratios``."""
@@ -75,7 +91,7 @@ class Classifier:
 
 
 def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    counts = np.ones((2, BUCKETS))
+    counts = np.ones((2, FEATURES))
     for found, y in zip(rows, labels, strict=True):
         counts[int(y), found] += 1
     share = counts / counts.sum(axis=1, keepdims=True)
@@ -83,15 +99,15 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and the weight of a constant feature 1 that minimise half the squared norm plus cost times squared hinge losses."""
-    weights, bias = np.zeros(BUCKETS), 0.0
-    alpha, diagonal = np.zeros(len(rows)), 1 / (2 * cost)
-    square = np.array([float((v * v).sum()) for v in values]) + diagonal + 1
+    """Weights and the weight of a constant feature 1 that minimise half the squared norm plus cost times hinge losses."""
+    weights, bias = np.zeros(FEATURES), 0.0
+    alpha = np.zeros(len(rows))
+    square = np.array([float((v * v).sum()) for v in values]) + 1
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            slope = signs[i] * (bias + float((weights[rows[i]] * values[i]).sum())) - 1 + diagonal[i] * alpha[i]
-            new = max(alpha[i] - slope / square[i], 0.0)
+            slope = signs[i] * (bias + float((weights[rows[i]] * values[i]).sum())) - 1
+            new = min(max(alpha[i] - slope / square[i], 0.0), cost[i])
             if new != alpha[i]:
                 weights[rows[i]] += (new - alpha[i]) * signs[i] * values[i]
                 bias += (new - alpha[i]) * signs[i]
@@ -112,7 +128,7 @@ def logistic_curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, floa
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Classifier:
-    nothing = np.zeros(BUCKETS)
+    nothing = np.zeros(FEATURES)
     n, ones = len(labels), int(labels.sum()) if len(labels) else 0
     if ones in (0, n):
         share = 0.5 if not n else (ones + 0.5) / (n + 1)
@@ -143,12 +159,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS) -> Classifier:
     def make():
-        return lambda rows: {"doc_id": rows["doc_id"], "label": rows["label"], "found": [features(x).tobytes() for x in rows["text"]]}
+        return lambda rows: {"doc_id": rows["doc_id"], "label": rows["label"], "found": [packed(features(x)) for x in rows["text"]]}
 
     sample = labelled_sample(docs, labels, label_col, id_col, text_col, limit)
     hashed = map_batches(sample, make, f"doc_id {dict(docs.dtypes)[id_col]}, label int, found binary").toPandas()
     hashed = hashed.sort_values(["doc_id", "label", "found"])
-    return fit([np.frombuffer(x, np.int32) for x in hashed["found"]], hashed["label"].to_numpy(dtype=float))
+    return fit([unpacked(x) for x in hashed["found"]], hashed["label"].to_numpy(dtype=float))
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
