@@ -3,19 +3,22 @@
 Every text is both parsed and, for the texts after it, reference.  Its WINDOW-word windows fall into blocks: a
 window belongs to the smallest hash among its ANCHOR-word sequences, and a block is a stretch of windows with the
 same one.  Where two texts agree, they have the same blocks, except at the edges of the agreement.  The index
-holds each distinct block (its anchor and the hash of all its windows) with the smallest doc_id that has it.
-
-A text is parsed greedily: consecutive blocks that the index has from an earlier text make one factor.  At a
-factor's boundaries blocks differ although windows may still agree, so where an anchor is shared by several
-blocks the windows themselves are looked up.  One text of each distinct block is enough to put its windows into
-that second look-up, and only that text needs the answer: all others have the whole block from an earlier text.
-A window is thus a duplicate exactly if its words also begin a window in a text with a smaller doc_id, as told by
-64-bit hashes over whole words.  The words of duplicate windows are removed.
-
-Words are runs of characters other than ASCII white space.  Defined results: null, empty and short texts (under
-WINDOW words) lose nothing; rows with a null id lose nothing and are no reference; repeated rows are treated
-alike, and rows that share an id are no reference for each other; extra columns are ignored; an empty table gives
-an empty table.  Whole texts are parsed, however long.
+holds each distinct block (its anchor and a digest of all its windows) with its first place: the smallest doc_id
+that has it and the smallest word there.
+
+A text is parsed greedily from its first word to its last: at each block that the index has from an earlier text a
+factor begins, and it goes on for as long as the next block stands next in the same source.  A factor is (begin,
+length, source, source_begin), in words; it holds at least one window, so none is shorter than WINDOW.  At a factor's
+boundaries blocks differ although windows may still agree, so where an anchor is shared by several blocks the
+windows themselves are looked up.  One text of each distinct block is enough to put its windows into that second
+look-up, and only that text needs the answer: all others have the whole block from an earlier text.  A window is
+thus a duplicate exactly if its words also begin a window in a text with a smaller doc_id, as told by two 64-bit
+hashes that are independent from the words on (128 bits).  The words of factors and duplicate windows are removed.
+
+Words are runs of characters other than ASCII white space.  Ids keep their type and are compared as it orders them.
+Defined results: null, empty and short texts (under WINDOW words) lose nothing; rows with a null id lose nothing and
+are no reference; repeated rows are treated alike, and rows that share an id are no reference for each other; extra
+columns are ignored; an empty table gives an empty table.  Whole texts are parsed, however long.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ STEP = 0xD1342543DE82EF95
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    """Two hashes of each word, one in each row."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2).T
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,13 +49,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def doubled(x: np.ndarray, width: int, join) -> np.ndarray:
-    """``join`` over each ``width`` neighbours, from halves that may overlap."""
+    """``join`` over each ``width`` neighbours of the last axis, from halves that may overlap."""
     have = 1
     while have * 2 <= width:
-        x = join(x[: len(x) - have], x[have:])
+        x = join(x[..., : x.shape[-1] - have], x[..., have:])
         have *= 2
     rest = width - have
-    return join(x[: len(x) - rest], x[rest:]) if rest else x
+    return join(x[..., : x.shape[-1] - rest], x[..., rest:]) if rest else x
 
 
 def sequence_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -59,17 +63,17 @@ def sequence_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def parse(words: list[bytes], window: int = WINDOW, anchor: int = ANCHOR):
-    """Of a text's windows: their hashes, and the begin, anchor and content hash of each block."""
+    """Of a text's windows: their two hashes, and the begin, length, anchor and two content hashes of each block."""
     x = word_hashes(words)
     windows = sequence_hashes(x, window)
-    smallest = doubled(sequence_hashes(x, anchor), window - anchor + 1, np.minimum)
+    smallest = doubled(sequence_hashes(x[0], anchor), window - anchor + 1, np.minimum)
     begins = np.concatenate([[0], np.flatnonzero(smallest[1:] != smallest[:-1]) + 1])
-    lengths = np.diff(np.concatenate([begins, [len(windows)]]))
-    place = np.arange(len(windows)) - np.repeat(begins, lengths)
+    lengths = np.diff(np.concatenate([begins, [windows.shape[1]]]))
+    place = np.arange(windows.shape[1]) - np.repeat(begins, lengths)
     powers = np.full(int(lengths.max()), STEP, np.uint64)
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint64)
-    content = mixed(np.add.reduceat(windows * powers[place], begins) + lengths.astype(np.uint64))
+    content = mixed(np.add.reduceat(windows * powers[place], begins, axis=1) + lengths.astype(np.uint64))
     return windows, begins, lengths, smallest[begins], content
 
 
@@ -78,83 +82,96 @@ def split(text: str | None) -> list[bytes]:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, key, block, anchor, content of every block."""
+    """doc_id, key, block, at (its first word), anchor, c0, c1 of every block."""
 
     def make():
         def work(rows):
-            out = {k: [] for k in ("doc_id", "key", "block", "anchor", "content")}
+            out = {k: [] for k in ("doc_id", "key", "at", "anchor", "c0", "c1")}
             for doc_id, key, text in zip(rows["doc_id"], rows["key"], rows["text"], strict=True):
-                words = split(text)
-                if doc_id is None or len(words) < WINDOW:
+                if len(words := split(text)) < WINDOW:
                     continue
                 _, begins, _, anchors, content = parse(words)
-                out["doc_id"].append(np.full(len(begins), doc_id))
-                out["key"].append(np.full(len(begins), key))
-                out["block"].append(np.arange(len(begins), dtype=np.int32))
-                out["anchor"].append(anchors.view(np.int64))
-                out["content"].append(content.view(np.int64))
-            return {k: np.concatenate(v) if v else [] for k, v in out.items()}
+                for k, v in zip(out, (doc_id, key, begins.astype(np.int32), anchors.view(np.int64), *content.view(np.int64)), strict=True):
+                    out[k].append(v)
+            return out
 
         return work
 
-    return map_batches(docs.select("doc_id", "key", "text"), make, "doc_id bigint, key bigint, block int, anchor bigint, content bigint")
+    kind = dict(docs.dtypes)["doc_id"]
+    found = map_batches(docs.where("doc_id IS NOT NULL").select("doc_id", "key", "text"), make, f"doc_id {kind}, key bigint, at array<int>, anchor array<bigint>, c0 array<bigint>, c1 array<bigint>")
+    return found.select("doc_id", "key", F.posexplode(F.arrays_zip("at", "anchor", "c0", "c1")).alias("block", "b")).select("doc_id", "key", "block", "b.*")
 
 
 def block_answers(found: DataFrame) -> DataFrame:
-    """doc_id, key, copies (blocks an earlier text has), asks (blocks whose windows must be looked up)."""
-    kinds = found.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    """doc_id, key, copies (blocks an earlier text has, with their place there), asks (blocks whose windows must be looked up)."""
+    kinds = found.groupBy("anchor", "c0", "c1").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"))
     shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("varied"))
-    kinds = kinds.join(shared, "anchor", "left").where("first < last OR varied").select("anchor", "content", "first", F.coalesce("varied", F.lit(False)).alias("varied"))
-    told = found.join(kinds, ["anchor", "content"]).where("doc_id > first OR varied").select("doc_id", "key", "block", (F.col("doc_id") > F.col("first")).alias("copy"))
-    pick = lambda copy: F.collect_set(F.when(F.col("copy") == copy, F.col("block")))
-    return told.groupBy("doc_id", "key").agg(pick(True).alias("copies"), pick(False).alias("asks"))
+    kinds = kinds.join(shared, "anchor", "left").where("first.doc_id < last OR varied").select("anchor", "c0", "c1", "first", F.coalesce("varied", F.lit(False)).alias("varied"))
+    # A written table, so that the rows of a block that very many texts hold can be dealt to several tasks.
+    kinds = written(kinds, "kinds")
+    told = found.join(kinds, ["anchor", "c0", "c1"]).where("doc_id > first.doc_id OR varied")
+    copy = F.col("doc_id") > F.col("first.doc_id")
+    copies = F.collect_set(F.when(copy, F.struct("block", F.col("first.doc_id").alias("source"), F.col("first.at").alias("source_begin"))))
+    return told.groupBy("doc_id", "key").agg(F.array_sort(copies).alias("copies"), F.collect_set(F.when(~copy, F.col("block"))).alias("asks"))
 
 
 def asked_windows(docs: DataFrame, answers: DataFrame) -> DataFrame:
-    """doc_id, key, at, hash of the windows in the blocks asked for."""
+    """doc_id, key, at, h0, h1 of the windows in the blocks asked for."""
 
     def make():
         def work(rows):
-            out = {k: [] for k in ("doc_id", "key", "at", "hash")}
+            out = {k: [] for k in ("doc_id", "key", "at", "h0", "h1")}
             for doc_id, key, text, asks in zip(rows["doc_id"], rows["key"], rows["text"], rows["asks"], strict=True):
                 windows, begins, lengths, _, _ = parse(split(text))
                 own = np.zeros(len(begins), bool)
                 own[asks] = True
                 at = np.flatnonzero(np.repeat(own, lengths))
-                out["doc_id"].append(np.full(len(at), doc_id))
-                out["key"].append(np.full(len(at), key))
-                out["at"].append(at.astype(np.int32))
-                out["hash"].append(windows[at].view(np.int64))
-            return {k: np.concatenate(v) if v else [] for k, v in out.items()}
+                for k, v in zip(out, (doc_id, key, at.astype(np.int32), *windows[:, at].view(np.int64)), strict=True):
+                    out[k].append(v)
+            return out
 
         return work
 
+    kind = dict(docs.dtypes)["doc_id"]
     own = docs.join(answers.where("size(asks) > 0").select("doc_id", "key", "asks").hint("merge"), ["doc_id", "key"])
-    return map_batches(own.select("doc_id", "key", "text", "asks"), make, "doc_id bigint, key bigint, at int, hash bigint")
+    found = map_batches(own.select("doc_id", "key", "text", "asks"), make, f"doc_id {kind}, key bigint, at array<int>, h0 array<bigint>, h1 array<bigint>")
+    return found.select("doc_id", "key", F.explode(F.arrays_zip("at", "h0", "h1")).alias("w")).select("doc_id", "key", "w.*")
+
 
+def factors_of(begins: np.ndarray, lengths: np.ndarray, copies: list[dict]) -> list[dict]:
+    """The greedy parse: begin, length, source and source_begin of each factor, in words.
 
-def covered(n: int, starts: np.ndarray) -> np.ndarray:
-    """Which of ``n`` words the windows at ``starts`` cover."""
-    edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + WINDOW, -1)
-    return np.cumsum(edges[:-1]) > 0
+    ``copies`` has block, source and source_begin, in order of blocks.
+    """
+    out: list[dict] = []
+    last = None
+    for c in copies:
+        begin, end = int(begins[c["block"]]), int(begins[c["block"]] + lengths[c["block"]]) + WINDOW - 1
+        if last == (c["block"], c["source"]) and c["source_begin"] - begin == out[-1]["source_begin"] - out[-1]["begin"]:
+            out[-1]["length"] = end - out[-1]["begin"]
+        else:
+            out.append({"begin": begin, "length": end - begin, "source": c["source"], "source_begin": c["source_begin"]})
+        last = (c["block"] + 1, c["source"])
+    return out
 
 
-def duplicate_words(text: str | None, copies: list[int] | None, starts: list[int] | None) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text and which of them go."""
+def duplicate_words(text: str | None, copies: list[dict] | None, starts: list[int] | None) -> tuple[list[bytes], np.ndarray, list[dict]]:
+    """The words of a text, which of them go, and its factors."""
     words = split(text)
     if len(words) < WINDOW or not (copies or starts):
-        return words, np.zeros(len(words), bool)
-    mine = np.zeros(len(words) - WINDOW + 1, bool)
+        return words, np.zeros(len(words), bool), []
+    factors = []
     if copies:
         _, begins, lengths, _, _ = parse(words)
-        own = np.zeros(len(begins), bool)
-        own[copies] = True
-        mine |= np.repeat(own, lengths)
+        factors = factors_of(begins, lengths, copies)
+    edges = np.zeros(len(words) + 1, np.int64)
+    for f in factors:
+        edges[f["begin"]] += 1
+        edges[f["begin"] + f["length"]] -= 1
     if starts:
-        mine[starts] = True
-    return words, covered(len(words), np.flatnonzero(mine))
+        np.add.at(edges, np.array(starts), 1)
+        np.add.at(edges, np.array(starts) + WINDOW, -1)
+    return words, np.cumsum(edges[:-1]) > 0, factors
 
 
 def spans_of(gone: np.ndarray) -> list[tuple[int, int]]:
@@ -164,32 +181,35 @@ def spans_of(gone: np.ndarray) -> list[tuple[int, int]]:
 
 def parsed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key, text, copies, starts: each row with what the look-ups said about it."""
-    docs = id_and_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("key", F.xxhash64("text"))
+    docs = id_and_text(df, id_col, text_col).withColumn("key", F.xxhash64("text"))
     found = written(blocks(docs), "blocks")
     answers = written(block_answers(found), "answers")
     windows = written(asked_windows(docs, answers), "windows")
-    first = windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
-    late = windows.join(first, "hash").where("doc_id > first").groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"))
-    return docs.join(answers.select("doc_id", "key", "copies").join(late, ["doc_id", "key"], "full"), ["doc_id", "key"], "left")
+    first = windows.groupBy("h0", "h1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h0", "h1", "first")
+    late = windows.join(written(first, "first"), ["h0", "h1"]).where("doc_id > first").groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"))
+    return docs.join(answers.select("doc_id", "key", "copies").join(late, ["doc_id", "key"], "full"), ["doc_id", "key"], "left").select("doc_id", "text", "copies", "starts")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, spans (word ranges that go, end exclusive), kept (the other words, joined by one space)."""
+    """doc_id, n_words, spans (word ranges that go, end exclusive), factors, kept (the other words, joined by one space)."""
 
     def make():
         def work(rows):
-            out = {k: [] for k in ("doc_id", "n_words", "spans", "kept")}
+            out = {k: [] for k in ("doc_id", "n_words", "spans", "factors", "kept")}
             for doc_id, text, copies, starts in zip(*(rows[k] for k in ("doc_id", "text", "copies", "starts")), strict=True):
-                words, gone = duplicate_words(text, copies, starts)
+                words, gone, factors = duplicate_words(text, copies, starts)
                 out["doc_id"].append(doc_id)
                 out["n_words"].append(len(words))
                 out["spans"].append([{"begin": a, "finish": b} for a, b in spans_of(gone)])
+                out["factors"].append(factors)
                 out["kept"].append(b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode())
             return out
 
         return work
 
-    return map_batches(parsed(df, id_col, text_col).select("doc_id", "text", "copies", "starts"), make, "doc_id bigint, n_words bigint, spans array<struct<begin:bigint,finish:bigint>>, kept string")
+    kind = dict(df.dtypes)[id_col]
+    factor = f"struct<begin:bigint,length:bigint,source:{kind},source_begin:bigint>"
+    return map_batches(parsed(df, id_col, text_col), make, f"doc_id {kind}, n_words bigint, spans array<struct<begin:bigint,finish:bigint>>, factors array<{factor}>, kept string")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +219,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         def work(rows):
             out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256")}
             for doc_id, text, copies, starts in zip(*(rows[k] for k in ("doc_id", "text", "copies", "starts")), strict=True):
-                words, gone = duplicate_words(text, copies, starts)
+                words, gone, _ = duplicate_words(text, copies, starts)
                 left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
                 out["doc_id"].append(doc_id)
                 out["n_words"].append(len(words))
@@ -209,4 +229,4 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
         return work
 
-    return map_batches(parsed(df, id_col, text_col).select("doc_id", "text", "copies", "starts"), make, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return map_batches(parsed(df, id_col, text_col), make, f"doc_id {dict(df.dtypes)[id_col]}, n_words bigint, n_removed bigint, kept_sha256 string")
