@@ -19,6 +19,7 @@ their queries' results are merged under that id; extra columns are ignored; an e
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,11 +34,12 @@ K = 5
 TREES = 8
 LEAF_ROWS = 128
 SAMPLE_ROWS = 65_536
-SEARCH_SHARE = 0.12
-LEAST_LEAVES = 48
+SEARCH_SCALE, SEARCH_POWER = 0.41, 0.8
 BLOCK_ROWS = 4000
 QUERY_EVERY = 50
 CLOSE = 1e-9
+#: Components between which squares and their sums neither vanish nor overflow.
+TINY, HUGE = 1e-140, 1e140
 #: Queries whose best a task holds before it hands them on.
 QUERIES_HELD = 100_000
 
@@ -83,17 +85,17 @@ class Forest:
 def fit(sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed: int = 11) -> Forest:
     rng = np.random.default_rng(seed)
     planes, cuts, children, leaves = [], [], [], 0
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    rows_of = unit(sample)
 
     def grow(rows: np.ndarray) -> int:
         nonlocal leaves
         plane = None
         if len(rows) > leaf_rows:
-            a, b = unit[rng.choice(rows, 2, replace=False)]
+            a, b = rows_of[rng.choice(rows, 2, replace=False)]
             length = float(np.linalg.norm(a - b))
             plane = (a - b) / length if length else None
         if plane is not None:
-            along = unit[rows] @ plane
+            along = rows_of[rows] @ plane
             cut = float(np.median(along))
             right = along > cut
         if plane is None or not right.any() or right.all():
@@ -106,13 +108,27 @@ def fit(sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed
         children[me] = (grow(rows[~right]), grow(rows[right]))
         return me
 
-    roots = [grow(np.arange(len(unit))) for _ in range(trees)]
+    roots = [grow(np.arange(len(rows_of))) for _ in range(trees)]
     width = sample.shape[1]
     return Forest(np.array(planes).reshape(-1, width), np.array(cuts), np.array(children, np.int64).reshape(-1, 2), roots, leaves)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component: no rounding, no overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of paired rows."""
+    """Cosine of paired rows; where squares leave the range of doubles, of the rows divided by their largest component."""
+    size = np.abs(np.concatenate([a, b], axis=1))
+    odd = (size.max(axis=1, initial=0) > HUGE) | (size.min(axis=1, initial=np.inf, where=size > 0) < TINY)
+    if odd.any():
+        a, b = (np.where(odd[:, None], scaled(x), x) for x in (a, b))
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
@@ -124,11 +140,11 @@ def best_in_block(query_ids, queries: np.ndarray, ids: list[list[int]], rows: np
     """(query, id, score) of each query's k nearest ids in one block."""
     if not len(queries) or not len(rows):
         return []
-    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    units = unit(rows)
     out = []
     for at in range(0, len(queries), 512):
         part = queries[at : at + 512]
-        rough = (part / np.linalg.norm(part, axis=1, keepdims=True)) @ unit.T
+        rough = unit(part) @ units.T
         # One more than k: the query itself may be one entry.
         least = np.partition(rough, len(rows) - min(k + 1, len(rows)), axis=1)[:, len(rows) - min(k + 1, len(rows))]
         qi, ri = np.nonzero(rough >= least[:, None] - CLOSE)
@@ -150,7 +166,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("vec") == (width["w"] if width else 0)).distinct()
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, query_every: int = QUERY_EVERY, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, search_share: float = SEARCH_SHARE) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, query_every: int = QUERY_EVERY, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, search_scale: float = SEARCH_SCALE, search_power: float = SEARCH_POWER) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by ``query_every``."""
     spark = df.sparkSession
     rows = written(usable(df, id_col, vec_col), "vectors")
@@ -165,20 +181,20 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
     width = sample.shape[1]
     fitted = fit(sample, trees, leaf_rows)
     packed = spark.sparkContext.broadcast((fitted.planes, fitted.cuts, fitted.children, fitted.roots, fitted.leaves))
-    leaves = max(LEAST_LEAVES, int(search_share * fitted.leaves))
+    leaves = max(trees, math.ceil(search_scale * fitted.leaves**search_power))
 
     def put(batches):
         forest = Forest(*packed.value)
         for batch in batches:
             if batch.num_rows:
-                leaf = forest.leaf_of(vectors_of(batch.column(0), width)).ravel()
+                leaf = forest.leaf_of(unit(vectors_of(batch.column(0), width))).ravel()
                 at = pa.array(np.repeat(np.arange(batch.num_rows), len(forest.roots)))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column(0).take(at), batch.column(1).take(at)], names=["leaf", "vec", "ids"])
 
     def ask(batches):
         forest = Forest(*packed.value)
         for batch in batches:
-            found = [forest.search(q / np.linalg.norm(q), leaves) for q in vectors_of(batch.column(1), width)]
+            found = [forest.search(q, leaves) for q in unit(vectors_of(batch.column(1), width))] if batch.num_rows else []
             at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
             yield pa.RecordBatch.from_arrays([pa.array([y for x in found for y in x], pa.int64()), batch.column(1).take(at), batch.column(0).take(at)], names=["leaf", "vec", "query_id"])
 
