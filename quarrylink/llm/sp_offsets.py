@@ -2,8 +2,9 @@
 
 The normaliser walks the text with the longest prefix found in the model's compiled character map (a Darts
 double array and a block of replacement strings) and records, for every normalised byte, the original byte it
-came from.  The ids are the library's; each id owns a known number of normalised bytes, so a running sum over
-the ids cuts the normalised text into pieces and the alignment projects every piece to its original span.
+came from.  Its output is what is segmented: the same model, with its own normaliser switched off, turns the
+normalised bytes into ids.  Each id owns a known number of normalised bytes, so a running sum over the ids cuts the
+normalised text into pieces and the alignment projects every piece to its original span.
 
 Defined results: a null text is the empty text; the empty text has the two ids begin and end, both with empty
 spans; a null id stays null; repeated rows give one output row each; extra columns are ignored; an empty table
@@ -82,6 +83,16 @@ class Encoded:
     ends: np.ndarray
 
 
+def without_normaliser(model: bytes) -> bytes:
+    """The model with the identity as its normaliser: it takes bytes that are normalised already."""
+    proto = model_pb2.ModelProto()
+    proto.ParseFromString(model)
+    spec = proto.normalizer_spec
+    spec.name, spec.precompiled_charsmap = "identity", b""
+    spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
+    return proto.SerializeToString()
+
+
 class Codec:
     """Encodes and decodes with one model; ``model`` is the serialised model."""
 
@@ -89,6 +100,7 @@ class Codec:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         proto = model_pb2.ModelProto()
         proto.ParseFromString(model)
+        self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=without_normaliser(model))
         spec = proto.normalizer_spec
         self.map = CharacterMap(spec.precompiled_charsmap)
         self.dummy_prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
@@ -148,9 +160,8 @@ class Codec:
         head = np.zeros(len(SPACE) if self.dummy_prefix else 0, np.int64)
         return (SPACE if self.dummy_prefix else b"") + data.replace(b" ", SPACE), np.concatenate([head, origin, [len(raw)]])
 
-    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Original byte span of each id."""
-        normal, origin = self.normalise(text.encode())
+    def spans(self, normal: bytes, origin: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Original byte span of each id of a normalised text."""
         width = self.width[np.asarray(ids, np.int64)]
         if (width < 0).any():
             width = self._with_unknown(normal, ids, width)
@@ -172,7 +183,9 @@ class Codec:
         return width
 
     def encode(self, texts: list[str]) -> list[Encoded]:
-        return [Encoded(ids, *self.spans(text, ids)) for text, ids in zip(texts, self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1), strict=True)]
+        done = [self.normalise(text.encode()) for text in texts]
+        ids = self.segmenter.encode([normal.decode() for normal, _ in done], add_bos=True, add_eos=True, num_threads=1)
+        return [Encoded(x, *self.spans(normal, origin, x)) for (normal, origin), x in zip(done, ids, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return [self.library.decode(x) for x in ids]
@@ -211,7 +224,11 @@ def decode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 
 
 def round_trip_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of encode and decode in one pass: n_tokens, ids_sha256, decoded_sha256, covered_bytes (where the last span ends)."""
+    """Digests of encode and decode in one pass: n_tokens, ids_sha256, decoded_sha256, spans_sha256, covered_bytes.
+
+    spans_sha256 is of all begins, then all ends, as little-endian unsigned 64-bit integers; covered_bytes is where
+    the last span ends.
+    """
     model = read_model(model_path)
 
     def make():
@@ -225,10 +242,11 @@ def round_trip_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", t
                 "n_tokens": [len(x.ids) for x in done],
                 "ids_sha256": [hashlib.sha256(np.array(x.ids, "<u4").tobytes()).hexdigest() for x in done],
                 "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in back],
+                "spans_sha256": [hashlib.sha256(x.begins.astype("<u8").tobytes() + x.ends.astype("<u8").tobytes()).hexdigest() for x in done],
                 "covered_bytes": [int(x.ends.max()) for x in done],
             }
 
         return work
 
     kind = dict(df.dtypes)[id_col]
-    return map_batches(id_and_text(df, id_col, text_col), make, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, covered_bytes bigint")
+    return map_batches(id_and_text(df, id_col, text_col), make, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string, covered_bytes bigint")
