@@ -2,8 +2,8 @@
 
 A fingerprint has 64 bits; bit b is 1 if it is set in over half of the XXH64 hashes (seed 42) of the text's word
 shingles.  Fingerprints at DISTANCE or fewer differing bits link.  Such a pair differs in at most DISTANCE of its
-8 positional bytes, so it shares at least 8 - DISTANCE of them: that is the guaranteed minimum the count filter
-asks for before the bits are compared.
+8 positional bytes, so it shares at least 8 - DISTANCE of them: that is the guaranteed minimum.  Within a list of
+the index the shared positional bytes of each pair are tallied; pairs that reach the minimum are verified bit by bit.
 
 Posting lists of single positional bytes would each hold a 256th of all fingerprints.  The index keeps them in
 combination instead: of any 5 shared positions, 3 fall among the bytes 0-3 or among 4-7, so the lists of the 8
@@ -36,6 +36,8 @@ SEED = 42
 DISTANCE = 3
 SHINGLE = 3
 LIST_ROWS = 2000
+#: Shingles whose bits are laid out at a time.
+SLICE = 1 << 16
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 
 
@@ -52,8 +54,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     begins = np.concatenate([[0], ends[: -shingle]])
     hashes = np.fromiter([digest(line[a:b], SEED) for a, b in zip(begins.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64, len(begins))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        ones += np.unpackbits(hashes[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
@@ -98,31 +101,27 @@ def in_blocks(lists: DataFrame) -> DataFrame:
     return lists.select("list", "part", F.explode(pair).alias("p"), "own", "fp").select("list", "part", F.col("p.low").alias("low"), F.col("p.high").alias("high"), "own", "fp")
 
 
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
-def shared_bytes(x: np.ndarray) -> np.ndarray:
-    """How many of the 8 bytes are zero, that is shared by a pair with this difference."""
-    return (x[..., None].view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
+def tally(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many of the 8 positional bytes each pair shares."""
+    a, b = rows.view(np.uint8).reshape(-1, 8), others.view(np.uint8).reshape(-1, 8)
+    shared = np.zeros((len(rows), len(others)), np.uint8)
+    for i in range(8):
+        shared += a[:, i, None] == b[None, :, i]
+    return shared
 
 
 def spanning_links(fps: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among some fingerprints; no member is left out, chunks bound the memory."""
+    """A spanning forest of the links among some fingerprints; no member is left out, chunks bound the memory.
+
+    Shared positional bytes are tallied for each pair; pairs that reach the guaranteed minimum are verified bit by bit.
+    """
     fps = np.unique(fps.view(np.uint64))
     links, group = [], np.arange(len(fps))
     for at in range(0, len(fps), 256):
-        rows = fps[at : at + 256]
-        differ = rows[:, None] ^ fps[None, at:]
-        near = popcount(differ) <= DISTANCE
-        a, b = np.nonzero(near)
-        a, b = a + at, b + at
-        ok = a < b
-        a, b = a[ok], b[ok]
-        if not len(a):
-            continue
-        ok = shared_bytes(fps[a] ^ fps[b]) >= 8 - DISTANCE
-        for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+        a, b = np.nonzero(tally(fps[at : at + 256], fps[at:]) >= 8 - DISTANCE)
+        a, b = a[a < b] + at, b[a < b] + at
+        near = np.bitwise_count(fps[a] ^ fps[b]) <= DISTANCE
+        for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
             ri, rj = i, j
             while group[ri] != ri:
                 group[ri] = group[group[ri]]
@@ -197,5 +196,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = entries.join(roots, entries["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = written(named, "entries")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(smallest, "root").select("fp", "component_id")
+    classes = written(named.join(smallest, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
