@@ -1,6 +1,7 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
-The pieces are those of a fixed public vocabulary plus every single byte.  A lower-cased text is a sequence of
+The pieces are those of a fixed public vocabulary, lower-cased (pieces that differ in case alone become one), and
+every single byte.  A lower-cased text is a sequence of
 white-space-separated words, each led by a space mark as the vocabulary's own pieces are; no piece crosses a
 word's end, so a text's probability is the product of its words' probabilities, and a word's is the forward
 algorithm's sum over all its segmentations.  Per-language piece probabilities come from expectation-maximisation
@@ -10,10 +11,14 @@ smallest xxhash64 of their id.
 The score of a prediction is the posterior of the predicted language, with the likelihood taken over EVIDENCE
 average words, so that it stays below 1 on mixed texts.
 
+As a filter, ``in_known_language`` also rejects texts whose best language gives them less probability than drawing
+their bytes at random would: no learned language explains them.
+
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or where no language could be
 learned; a null language is not learned; a null id is not learned from and stays null in the result; ties go to
 the language first in alphabetical order; repeated rows give one row each; extra columns are ignored.  Whole
-texts are scored, however long; words of over LONG_WORD bytes are learned and scored with rescaled sums.
+texts are scored, however long; words of over LONG_WORD bytes, and words whose sums are too small for a double, are
+learned and scored with rescaled sums.
 """
 
 from __future__ import annotations
@@ -28,13 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from quarrylink.llm.common import BATCH_ROWS, id_and_text, id_remainder, is_held_out, map_batches
+from quarrylink.llm.common import id_and_text, id_remainder, is_held_out, map_batches, parts
 
 ROWS_PER_LANGUAGE = 400
-MAX_PIECE = 12
 ROUNDS = 2
 EVIDENCE = 20
 LONG_WORD = 48
+#: Words of one length that are scored at a time.
+WORDS_AT_ONCE = 5000
+#: Sums below this may have lost paths that no double holds.
+SMALL = 1e-200
 #: Each byte's probability is multiplied by this, which keeps sums near 1; it is divided out of the logarithm.
 PER_BYTE = 20.0
 WORDS_KEPT = 300_000
@@ -43,13 +51,13 @@ ASCII_LETTER = re.compile("[A-Za-z]")
 
 
 def vocabulary(path: str) -> list[bytes]:
-    """Pieces of at most MAX_PIECE bytes, a space for the space mark, and all single bytes."""
+    """All single bytes and the model's pieces, with a space for the space mark; no word holds a space further on."""
     proto = model_pb2.ModelProto()
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
     normal = model_pb2.ModelProto.SentencePiece.NORMAL
     pieces = {p.piece.lower().replace("▁", " ").encode() for p in proto.pieces if p.type == normal}
-    pieces = {p for p in pieces if 1 < len(p) <= MAX_PIECE and b" " not in p[1:]}
+    pieces = {p for p in pieces if len(p) > 1 and b" " not in p[1:]}
     return [bytes((i,)) for i in range(256)] + sorted(pieces)
 
 
@@ -61,8 +69,10 @@ class PieceTable:
 
     def __init__(self, pieces: list[bytes]):
         self.pieces = pieces
-        self.powers = np.ones(MAX_PIECE + 1, np.uint64)
-        for i in range(1, MAX_PIECE + 1):
+        self.lengths = sorted({len(p) for p in pieces}, reverse=True)
+        self.longest = self.lengths[0]
+        self.powers = np.ones(self.longest + 1, np.uint64)
+        for i in range(1, self.longest + 1):
             self.powers[i] = int(self.powers[i - 1]) * int(self.BASE) % 2**64
         self.hashes = np.array([self._hash(p) for p in pieces], np.uint64)
         if len(set(self.hashes.tolist())) < len(pieces):
@@ -109,7 +119,7 @@ class PieceTable:
             prefix[:, i + 1] = prefix[:, i] * self.BASE + raw[:, i]
         edges = []
         for end in range(1, n + 1):
-            for start in range(max(0, end - MAX_PIECE), end):
+            for start in (end - n for n in self.lengths if n <= end):
                 pieces = self.find(prefix[:, end] - prefix[:, start] * self.powers[end - start])
                 rows = np.flatnonzero(pieces < len(self.pieces))
                 if len(rows):
@@ -144,39 +154,43 @@ class Model:
         sums[0] = 1
         for start, end, rows, pieces in self.table.lattice(words):
             sums[end, rows] += sums[start, rows] * self.scaled[pieces]
-        return np.log(sums[n]) - n * np.log(PER_BYTE)
+        small = (sums[n] < SMALL).any(axis=1)
+        logs = np.log(np.where(small[:, None], 1.0, sums[n])) - n * np.log(PER_BYTE)
+        for i in np.flatnonzero(small):
+            logs[i] = self._forward_long(words[i])
+        return logs
 
     def _forward_long(self, word: bytes) -> np.ndarray:
-        """The same for one word, keeping the last MAX_PIECE sums and rescaling them."""
+        """The same for one word, keeping the last sums that a piece can reach and rescaling them."""
         sums, shift = [np.ones(len(self.languages))], np.zeros(len(self.languages))
         for end in range(1, len(word) + 1):
             total = np.zeros(len(self.languages))
-            for back in range(1, min(end, MAX_PIECE) + 1):
+            for back in range(1, min(end, self.table.longest) + 1):
                 piece = self.number.get(word[end - back : end])
                 if piece is not None:
                     total = total + sums[-back] * self.scaled[piece]
-            sums = [*sums[1 - MAX_PIECE :], total]
+            sums = [*sums[1 - self.table.longest :], total]
             if end % 16 == 0:
                 shift += np.log(total)
                 sums = [s / total for s in sums]
         return np.log(sums[-1]) + shift - len(word) * np.log(PER_BYTE)
 
-    def text_logs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log probabilities by text and language, and word counts."""
+    def text_logs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Summed log probabilities by text and language, and counts of words and of bytes."""
         words = [[b" " + w for w in t.lower().encode().split()] for t in texts]
         if len(self.kept) > WORDS_KEPT:
             self.kept, self.logs = {}, self.logs[:0]
         new = set(chain.from_iterable(words)) - self.kept.keys()
         blocks = [self.logs]
         for same in by_length(new).values():
-            for at in range(0, len(same), 20_000):
-                part = same[at : at + 20_000]
+            for at in range(0, len(same), WORDS_AT_ONCE):
+                part = same[at : at + WORDS_AT_ONCE]
                 self.kept.update(zip(part, range(len(self.kept), len(self.kept) + len(part)), strict=True))
                 blocks.append(self.forward(part))
         self.logs = np.concatenate(blocks)
         known = self.kept.__getitem__
         sums = [self.logs[np.fromiter(map(known, w), np.int64, len(w))].sum(axis=0) if w else np.zeros(len(self.languages)) for w in words]
-        return np.array(sums), np.array([len(w) for w in words])
+        return np.array(sums), np.array([len(w) for w in words]), np.array([sum(map(len, w)) for w in words])
 
 
 def has_letter(text: str) -> bool:
@@ -186,7 +200,7 @@ def has_letter(text: str) -> bool:
 def add_long(out: np.ndarray, model: Model, word: bytes, weight: np.ndarray) -> None:
     """Adds one word's expected piece counts (forward-backward on the logarithms of the sums)."""
     n = len(word)
-    edges = [(end - back, end, piece) for end in range(1, n + 1) for back in range(1, min(end, MAX_PIECE) + 1) if (piece := model.number.get(word[end - back : end])) is not None]
+    edges = [(end - back, end, piece) for end in range(1, n + 1) for back in range(1, min(end, model.table.longest) + 1) if (piece := model.number.get(word[end - back : end])) is not None]
     up, down = np.zeros((2, n + 1, out.shape[1]))
     by_end, by_start = [[[] for _ in range(n + 1)] for _ in range(2)]
     for start, end, piece in edges:
@@ -209,8 +223,8 @@ def expect(table: PieceTable, probability: np.ndarray, counts: dict[bytes, np.nd
     model = Model(table, [""] * probability.shape[1], probability)
     out = np.zeros_like(probability)
     for n, words in by_length(w for w in counts if len(w) <= LONG_WORD).items():
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
             weight = np.array([counts[w] for w in part])
             edges = table.lattice(part)
             ahead, back = np.zeros((2, n + 1, len(part), probability.shape[1]))
@@ -219,7 +233,10 @@ def expect(table: PieceTable, probability: np.ndarray, counts: dict[bytes, np.nd
                 ahead[end, rows] += ahead[start, rows] * model.scaled[pieces]
             for start, end, rows, pieces in sorted(edges, key=lambda e: -e[1]):
                 back[start, rows] += back[end, rows] * model.scaled[pieces]
-            share = weight / ahead[n]
+            small = (ahead[n] < SMALL).any(axis=1)
+            share = np.where(small[:, None], 0.0, weight / np.where(small[:, None], 1.0, ahead[n]))
+            for i in np.flatnonzero(small):
+                add_long(out, model, part[i], weight[i])
             for start, end, rows, pieces in edges:
                 used = ahead[start, rows] * model.scaled[pieces] * back[end, rows] * share[rows]
                 for k in range(out.shape[1]):
@@ -282,16 +299,18 @@ class Judge:
             self.model = Model(PieceTable(pieces), languages, scaled * 0)
             self.model.scaled = scaled
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and, for each byte, the logarithm of how much likelier the language is than random bytes."""
         known = [i for i, x in enumerate(texts) if self.model and x is not None and has_letter(x)]
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        langs, scores, gains = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if known:
-            sums, counts = self.model.text_logs([texts[i] for i in known])
-            for i, logs, n in zip(known, sums, counts, strict=True):
+            sums, counts, sizes = self.model.text_logs([texts[i] for i in known])
+            for i, logs, n, size in zip(known, sums, counts, sizes, strict=True):
                 part = np.exp((logs - logs.max()) * min(1.0, EVIDENCE / n))
                 best = int(logs.argmax())
                 langs[i], scores[i] = self.model.languages[best], float(part[best] / part.sum())
-        return langs, scores
+                gains[i] = float(logs[best] / size + np.log(256))
+        return langs, scores, gains
 
 
 def packed(model: Model | None):
@@ -307,7 +326,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         judge = Judge(sent)
 
         def work(rows):
-            langs, scores = judge(rows["text"])
+            langs, scores, _ = judge(rows["text"])
             return {"doc_id": rows["doc_id"], "lang_pred": langs, "score": scores}
 
         return work
@@ -317,18 +336,17 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def in_known_language(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns kept, whose text is not ``und``.  Nothing is shuffled."""
-    sent = packed(model)
+    """The rows of ``df``, all columns kept, whose text a learned language explains.  Nothing is shuffled."""
+    sent, place = packed(model), df.columns.index(text_col)
 
     def keep(batches):
         import pyarrow as pa
 
         judge = Judge(sent)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                langs, _ = judge(part.column(part.schema.get_field_index(text_col)).to_pylist())
-                yield part.filter(pa.array([x != "und" for x in langs], pa.bool_()))
+            for part in parts(batch):
+                langs, _, gains = judge(part.column(place).cast(pa.string()).to_pylist())
+                yield part.filter(pa.array([x != "und" and g > 0 for x, g in zip(langs, gains, strict=True)], pa.bool_()))
 
     return df.mapInArrow(keep, df.schema)
 
