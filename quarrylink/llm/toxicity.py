@@ -11,8 +11,9 @@ transducers rewrite and weigh a clause's signs, one after another, as one compos
 The weight of a clause is that of its path through the composition, with insult arcs weighted by how far each
 speaks for toxic texts.  A logistic curve over a text's summed, largest and mean clause weight gives the score.
 
-Threats, targets, negations and reporting verbs are fixed lists.  Insult arcs are learned: words, and beginnings
-of words, of labelled texts, with log-odds of the texts that hold them.  The sample is bounded: at most
+Threats, targets, negations and reporting verbs are fixed lists, and a word on them always reads as its sign; a
+threat that also has an insult arc reads as both.  Insult arcs are learned: words, and beginnings of words, of
+labelled texts, with log-odds of the texts that hold them.  The sample is bounded: at most
 TRAIN_ROWS labelled rows, those with the smallest xxhash64 of their id; one half of them gives the arcs and the
 other the curve.
 
@@ -158,7 +159,7 @@ def text_weights(text: str | None, lexicon: Lexicon, finder: ahocorasick.Automat
     if next(finder.iter(low), None) is None:
         return 0.0, 0.0, 0.0
     total = largest = 0.0
-    clause, n, told = [], 0, False
+    clause, n, told, weight = [], 0, False, 0.0
     for word in [*WORD.findall(low), "."]:
         if word in BREAKS:
             if told:
@@ -167,10 +168,13 @@ def text_weights(text: str | None, lexicon: Lexicon, finder: ahocorasick.Automat
             clause, told = [], False
             continue
         n += 1
-        weight = lexicon.weight(word)
-        kind = "I" if weight else SIGNS.get(word, "O")
-        told = told or kind in "IT"
-        clause.append((kind, weight))
+        kind = SIGNS.get(word, "O")
+        if kind in "TO" and (weight := lexicon.weight(word)):
+            clause.append(("I", weight))
+            told = True
+        if kind != "O" or not weight:
+            clause.append((kind, 0.0))
+            told = told or kind == "T"
     return total, largest, 100 * total / max(n, 20)
 
 
@@ -216,7 +220,6 @@ def fit_curve(points: np.ndarray, labels: np.ndarray) -> tuple[float, float, flo
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS) -> Grader:
-    kind = dict(docs.dtypes)[id_col]
     sample = labelled_sample(docs, labels, label_col, id_col, text_col, limit)
     # The same text counts once, and falls into one half with its copies.
     half = (F.xxhash64(F.coalesce("text", F.lit(""))) % 2 == 0).alias("half")
