@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarrylink.llm import ann, decontaminate, line_dedup, queries, similar, simhash, substring_dedup
 
@@ -63,6 +64,25 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_slices(spark, monkeypatch):
+    docs = frame(spark, [(1, "What is the  Capital of France?"), (2, "capital of francez"), (3, "no such thing"), (4, "xcapital of france"), (None, "the capital of France? yes")])
+    bench = spark.createDataFrame([(1, "capital of France?"), (2, "thing"), (3, "hin"), (4, "what is the capital of frence?"), (5, "absent")], "item_id long, text string")
+    want = {(1, 1, 0), (1, 4, 1), (3, 2, 0), (None, 1, 0)}
+    for chars in (decontaminate.SLICE_CHARS, 10):
+        monkeypatch.setattr(decontaminate, "SLICE_CHARS", chars)
+        assert {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_leaks(docs, bench).collect()} == want
+        assert {r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()} == {2, 4}
+
+
+def test_leaks_with_clashing_columns_and_long_texts(spark):
+    long = "word " * 40_000 + "which of these answers is the right one to give " + "word " * 40_000
+    docs = spark.createDataFrame([(1, long, "x", "y", 1), (1, long, "x", "y", 1), (2, "clean", None, None, None)], "doc_id long, text string, item_id string, distance string, hits int")
+    bench = spark.createDataFrame([(1, "which of these answers is the right one to give", 5)], "item_id long, text string, doc_id int")
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_leaks(docs, bench).collect()] == [(1, 1, 0)]
+    kept = decontaminate.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2]
+
+
 # SimHash
 
 
@@ -105,6 +125,21 @@ def test_components_of_a_long_chain(spark):
     assert {(r["node"], r["root"]) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(41)} | {(50, 50), (51, 50)}
 
 
+def test_tally_counts_shared_bytes():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 2**63, (2, 50), np.int64).view(np.uint64)
+    b[:9] = a[:9] ^ np.uint64(0xFF00)
+    want = [[sum((int(x) >> 8 * k & 255) == (int(y) >> 8 * k & 255) for k in range(8)) for y in b] for x in a]
+    assert simhash.tally(a, b).tolist() == want and want[0][0] == 7
+
+
+def test_simhash_edges(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "x", 1), (2, "A B c d", "y", 2), (None, "a b c d", None, None), (4, "word " * 200_000, "z", 3)], "doc_id long, text string, fp string, component_id int")
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert got[1] == got[2] == got[None] == (f"{brute_fingerprint('a b c d'):016x}", 1) and got[4] == (f"{brute_fingerprint('word word word'):016x}", 4)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_triples_meet_every_qualifying_pair():
     from itertools import combinations
 
@@ -149,8 +184,15 @@ def test_line_dedup_edges(spark):
     got = [(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()]
     assert sorted(got, key=str) == sorted([(1, block), (2, ""), (2, ""), (None, ""), (3, None), (4, ""), (5, "one\ntwo")], key=str)
     assert line_dedup.dedup_lines(docs).columns == docs.columns and line_dedup.report(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        line_dedup.dedup_lines(docs.withColumnRenamed("source", "_ql_cuts"))
+    clash = docs.withColumnRenamed("source", "_ql_cuts").withColumnRenamed("n_chars", "_ql_text")
+    cut = line_dedup.dedup_lines(clash)
+    assert cut.columns == clash.columns and sorted(((r["doc_id"], r["text"]) for r in cut.collect()), key=str) == sorted(got, key=str)
+
+
+def test_line_dedup_when_chunks_share_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "chunk_hash", lambda text: F.lit(7).cast("bigint"))
+    docs = frame(spark, repeated_texts(lambda r: f"line {r.randrange(5000)}", "\n", 20))
+    compare(line_dedup.report(docs), duck(docs), queries.OP2_SQL, ["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
 
 def test_substring_dedup_against_sql(spark):
@@ -166,6 +208,30 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.digests(docs.limit(0)).count() == 0
 
 
+def test_factors_are_copies_of_their_source(spark):
+    docs = frame(spark, repeated_texts(lambda r: f"w{r.randrange(3000)}", " "))
+    words = {r["doc_id"]: (r["text"] or "").split() for r in docs.collect()}
+    rows = substring_dedup.dedup(docs).collect()
+    lengths = []
+    for r in rows:
+        gone = {i for s in r["spans"] for i in range(s["begin"], s["finish"])}
+        for f in r["factors"]:
+            own = words[r["doc_id"]][f["begin"] : f["begin"] + f["length"]]
+            assert own == words[f["source"]][f["source_begin"] : f["source_begin"] + f["length"]] and f["source"] < r["doc_id"]
+            assert f["length"] >= substring_dedup.WINDOW and set(range(f["begin"], f["begin"] + f["length"])) <= gone
+            lengths.append(f["length"])
+    assert max(lengths) > 100
+    (whole,) = [r["factors"] for r in rows if r["doc_id"] == 90]
+    assert len(whole) <= 3
+
+
+def test_substring_dedup_with_text_ids_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([("b", long, 1, 2), ("a", long, 3, 4), (None, long, 5, 6), ("c", "x " + long, None, None)], "doc_id string, text string, key int, copies int")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.digests(docs).collect()}
+    assert got == {"a": (60, 0), "b": (60, 60), None: (60, 0), "c": (61, 60)}
+
+
 # Nearest neighbours
 
 
@@ -189,6 +255,13 @@ def test_vector_edges(spark):
     assert ann.nearest(empty).count() == 0
 
 
+def test_extreme_magnitudes(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1.0, 0.0]), (3, [5e-324, 0.0]), (50, [-1e308, 1e308])]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, embedding array<double>, rank string, score double")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.nearest(df).collect()}
+    assert len(got) == 8 and got[0, 1] == pytest.approx(1, abs=1e-15) and got[0, 2] == got[0, 3] == pytest.approx(0.5**0.5) and got[0, 50] == pytest.approx(0)
+
+
 def test_blocks_of_a_leaf_cover_it(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 7)
     rng = np.random.default_rng(3)
@@ -248,7 +321,7 @@ def test_similar_groups_against_brute_force(spark, monkeypatch, list_rows):
     for i, j in linked:
         root = [root[j] if r == root[i] else r for r in root]
     got = {r["key"]: r["root"] for r in similar.groups(spark.createDataFrame(list(enumerate(texts)), "key int, text string")).collect()}
-    assert len(got) == len(texts) and any(simhash.popcount(np.uint64((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])) & (2**64 - 1))) > 3 for i, j in linked)
+    assert len(got) == len(texts) and any((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 3 for i, j in linked)
     assert all((got[i] == got[j]) == (root[i] == root[j]) for i in range(len(sets)) for j in range(i))
 
 
@@ -272,3 +345,19 @@ def test_near_duplicates_stage_with_null_and_repeated_ids(spark, tmp_path):
     rows = [(None, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (5, text(3)), (5, text(5)), (5, text(6)), (5, text(6)), (None, text(6)), (None, None), (9, "")]
     kept = c.near_duplicates(spark, frame(spark, rows), str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(None, text(1)), (None, text(2)), (3, text(3)), (5, text(5)), (5, text(6)), (9, "")], key=str)
+
+
+def test_stages_on_empty_null_and_clashing_tables(spark, tmp_path):
+    import corpus_pipeline as c
+
+    spark.createDataFrame([(1, "which of these answers is the right one to give")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    schema = SCHEMA + ", key string, _ql_row string, root string, lang_pred string"
+    english = [f"these are some plain words in a text with number {i} and that is all there is to it" for i in range(30)]
+    rows = [(i, t, "en", "s", 9, "k", "r", "o", "p") for i, t in enumerate(english)] + [(None, english[0], None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None), (40, "", "en", "s", 0, "", "", "", "")]
+    docs = spark.createDataFrame(rows, schema)
+    now, none = docs, docs.limit(0)
+    for name, stage in c.STAGES[:-1]:
+        now, none = stage(spark, now, str(tmp_path)), stage(spark, none, str(tmp_path))
+        assert now.columns == none.columns == docs.columns and none.count() == 0, name
+    assert {r["doc_id"] for r in now.collect()} <= set(range(30)) and now.count() >= 1
+    assert c.STAGES[-1][1](spark, none, str(tmp_path)).count() == 0
