@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_A_FILE, LEAST_FILES = 10_000, 8
 #: Tables that this process has written and not yet deleted.
 PATHS: set[str] = set()
 
@@ -27,9 +28,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/quarrylink-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` there and read it back: cuts the lineage, and later steps survive lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` there and read it back: cuts the lineage, and later steps survive lost executors.
+
+    ``rows``, where the caller knows about how many there are, keeps small tables from many tiny files.
+    """
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))
     df.write.parquet(path)
     PATHS.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
