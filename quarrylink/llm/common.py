@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrylink.sources.scratch import written
 
-__all__ = ["id_and_text", "id_remainder", "is_held_out", "map_batches", "parts", "table", "written"]
+__all__ = ["id_and_text", "id_remainder", "is_held_out", "map_batches", "parts", "release", "table", "written"]
 
 #: Rows and bytes that a worker takes at a time: bounds its memory when texts are many or very long.
 BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
@@ -45,6 +46,13 @@ def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at += rows
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and later stages have others' leftovers to bear."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """One output batch per slice of an input batch, see ``parts``.
 
@@ -64,5 +72,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
                 work = work or make()
                 out = work({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        work = None
+        release()
 
     return df.mapInArrow(run, kind)

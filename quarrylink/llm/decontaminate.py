@@ -28,7 +28,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylink.llm.common import id_and_text, map_batches, parts
+from quarrylink.llm.common import id_and_text, map_batches, parts, release
 
 ERROR_RATE = 0.1
 EDIT_CHARS = 20
@@ -203,6 +203,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 for some in parts(batch):
                     texts = some.column(place).cast(pa.string()).to_pylist()
                     yield some.filter(pa.array([not matcher.any_match(t) for t in texts], pa.bool_()))
+            del matcher
+            release()
 
         return rows.mapInArrow(keep, docs.schema)
 

@@ -33,19 +33,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from quarrylink.llm.common import id_and_text, id_remainder, is_held_out, map_batches, parts
+from quarrylink.llm.common import id_and_text, id_remainder, is_held_out, map_batches, parts, release
 
 ROWS_PER_LANGUAGE = 400
 ROUNDS = 2
 EVIDENCE = 20
 LONG_WORD = 48
 #: Words of one length that are scored at a time.
-WORDS_AT_ONCE = 5000
+WORDS_AT_ONCE = 1000
 #: Sums below this may have lost paths that no double holds.
 SMALL = 1e-200
 #: Each byte's probability is multiplied by this, which keeps sums near 1; it is divided out of the logarithm.
 PER_BYTE = 20.0
-WORDS_KEPT = 300_000
+WORDS_KEPT = 60_000
 MERGE_PARTS = 64
 ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -187,7 +187,8 @@ class Model:
                 part = same[at : at + WORDS_AT_ONCE]
                 self.kept.update(zip(part, range(len(self.kept), len(self.kept) + len(part)), strict=True))
                 blocks.append(self.forward(part))
-        self.logs = np.concatenate(blocks)
+        if len(blocks) > 1:
+            self.logs = np.concatenate(blocks)
         known = self.kept.__getitem__
         sums = [self.logs[np.fromiter(map(known, w), np.int64, len(w))].sum(axis=0) if w else np.zeros(len(self.languages)) for w in words]
         return np.array(sums), np.array([len(w) for w in words]), np.array([sum(map(len, w)) for w in words])
@@ -347,6 +348,8 @@ def in_known_language(df: DataFrame, model: Model | None, text_col: str = "text"
             for part in parts(batch):
                 langs, _, gains = judge(part.column(place).cast(pa.string()).to_pylist())
                 yield part.filter(pa.array([x != "und" and g > 0 for x, g in zip(langs, gains, strict=True)], pa.bool_()))
+        del judge
+        release()
 
     return df.mapInArrow(keep, df.schema)
 

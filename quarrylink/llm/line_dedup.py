@@ -10,7 +10,8 @@ digest together, so that two chunks that share a 64-bit hash are still told apar
 
 Defined results: a null text stays null and the empty text empty; a text all of whose chunks go becomes empty;
 rows with a null id lose what any row with an id has and are never the first; repeated rows (the same id and
-text) are each treated alike, so the first row's copies keep what it keeps; other columns pass through, whatever
+text) are each treated alike, so the first row's copies keep what it keeps; of different texts with one id the one
+with the smaller hash comes first; other columns pass through, whatever
 their names; an empty table gives an empty table.  Nothing is capped: a text may have any number of lines.
 """
 
@@ -67,27 +68,26 @@ def chunk_hash(text: Column) -> Column:
 def removals(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key, drop: the places of the chunks that go, for rows that lose any.
 
-    A row's places are gathered before the look-up, and what is looked up is a written table, so that the rows of a
-    chunk that very many texts hold can be dealt to several tasks.
+    What is looked up is a written table, so that the rows of a chunk that very many texts hold can be dealt to
+    several tasks.  A row that repeats id and text has the same places, which count once.
     """
     rows = chunk_rows(df, id_col, text_col)
-    same = rows.groupBy("hash", "digest", "chunk").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    place = F.struct("id", "key", "place")
+    same = rows.groupBy("hash", "digest", "chunk").agg(F.min(F.when(F.col("id").isNotNull(), place)).alias("first"), F.count(F.lit(1)).alias("n"))
     known = written(same.where("n > 1 AND first IS NOT NULL").select("hash", "digest", "first"), "chunks")
-    # Rows that repeat id and text have the same places, which count once.
-    own = rows.groupBy("id", "key", "hash", "digest").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    later = F.when(F.col("id") == F.col("first"), F.slice("places", 2, F.greatest(F.size("places") - 1, F.lit(0)))).otherwise(F.col("places"))
-    told = own.join(known, ["hash", "digest"]).select("id", "key", later.alias("drop")).where("size(drop) > 0")
-    return told.groupBy("id", "key").agg(F.flatten(F.collect_list("drop")).alias("drop"))
+    told = rows.select("id", "key", "place", "hash", "digest").join(known, ["hash", "digest"]).where(~place.eqNullSafe(F.col("first")))
+    return told.groupBy("id", "key").agg(F.collect_set("place").alias("drop"))
 
 
 def with_kept_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row`` (a struct of ``df``'s columns) with working columns and _ql_drop; ``kept_lines`` reads them."""
+    """``row`` (a struct of ``df``'s columns but the text) with working columns and _ql_drop; ``kept_lines`` reads them."""
     drop = removals(df, id_col, text_col).select(F.col("id").alias("_ql_of"), F.col("key").alias("_ql_of_key"), F.col("drop").alias("_ql_drop"))
     # In a struct no column's name can clash with a working one.
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("_ql_i"), F.col(f"`{text_col}`").cast("string").alias("_ql_t"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("row"), F.col(f"`{id_col}`").alias("_ql_i"), F.col(f"`{text_col}`").cast("string").alias("_ql_t"))
     # The hash of a null text is never looked up: such a row has no removals.
     rows = rows.withColumn("_ql_key", F.xxhash64("_ql_t"))
-    joined = rows.join(drop, F.col("_ql_i").eqNullSafe(F.col("_ql_of")) & (F.col("_ql_key") == F.col("_ql_of_key")), "left").drop("_ql_of", "_ql_of_key", "_ql_key")
+    # The texts' side is neither sorted nor gathered: the removals of a partition are the hash table.
+    joined = rows.join(drop.hint("shuffle_hash"), F.col("_ql_i").eqNullSafe(F.col("_ql_of")) & (F.col("_ql_key") == F.col("_ql_of_key")), "left").drop("_ql_of", "_ql_of_key", "_ql_key")
     return chunked(joined, "_ql_i", "_ql_t")
 
 
@@ -98,10 +98,11 @@ def kept_lines() -> Column:
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the text column cut.  The result is a written table: what a caller does with the text cannot repeat the work."""
+    """``df`` with the text column cut."""
     rows = with_kept_lines(df, id_col, text_col)
-    cut = F.array_join(kept_lines(), "\n")
-    return written(rows.select(*[cut.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns]), "lines")
+    # What a caller asks of the text cannot be pushed below the generator, where it would repeat the work.
+    rows = rows.select("row", F.explode(F.array(F.array_join(kept_lines(), "\n"))).alias("cut"))
+    return rows.select(*[F.col("cut").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,6 +36,8 @@ SEED = 42
 DISTANCE = 3
 SHINGLE = 3
 LIST_ROWS = 2000
+#: Links that one task takes.
+LOCAL_LINKS = 1_000_000
 #: Shingles whose bits are laid out at a time.
 SLICE = 1 << 16
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
@@ -168,33 +170,60 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def local_components(edges: np.ndarray) -> np.ndarray:
+    """(node, root) of every node of the edges (two columns): the smallest node of its component."""
+    nodes, at = np.unique(edges, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while True:
+        # Both ends' roots go to the smaller of the two, then every node to its root's root.
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, root[a], low)
+        np.minimum.at(after, root[b], low)
+        while (after[after] != after).any():
+            after = after[after]
+        if (after == root).all():
+            return np.stack([nodes, nodes[root]], axis=1)
+        root = after
+
+
+def components(edges: DataFrame, name: str = "components", rows: int | None = None) -> DataFrame:
     """node, root for every node of ``edges`` (a, b): the smallest node of its component.
 
     Large-star and small-star steps: every node points its larger neighbours at its smallest one, then its smaller
     neighbours and itself at the smallest of them; the links shrink to stars in a number of rounds that grows
-    with the logarithm of the component's size.  Each round is written to the shared folder.
+    with the logarithm of the component's size.  Each round is written to the shared folder.  As soon as no more than
+    LOCAL_LINKS links are left, of 16 bytes each, one task ends the work.  ``rows``: about how many links there are.
     """
-    pairs = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    while True:
+    pairs = written(edges.select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b")).distinct(), name, rows)
+
+    def solve(batches):
+        held = [np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1) for batch in batches]
+        found = local_components(np.concatenate([np.zeros((0, 2), np.int64), *held]))
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["node", "root"])
+
+    while (n := pairs.count()) > LOCAL_LINKS:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        after = written(small, name)
-        if after.count() == pairs.count() and not after.exceptAll(pairs).take(1):
+        after = written(small, name, n)
+        if after.count() == n and not after.exceptAll(pairs).take(1):
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         pairs = after
+    return written(pairs.repartition(1).mapInArrow(solve, "node bigint, root bigint"), name)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id for each row."""
     rows = written(fingerprints(df, id_col, text_col, shingle), "fingerprints")
+    n = rows.count()
     entries = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(entries.select("fp")))
+    roots = components(links(entries.select("fp")), rows=n)
     named = entries.join(roots, entries["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "entries")
+    named = written(named, "entries", n)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = written(named.join(smallest, "root").select("fp", "component_id"), "classes")
+    classes = written(named.join(smallest, "root").select("fp", "component_id"), "classes", n)
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -183,9 +183,13 @@ class Codec:
         return width
 
     def encode(self, texts: list[str]) -> list[Encoded]:
-        done = [self.normalise(text.encode()) for text in texts]
-        ids = self.segmenter.encode([normal.decode() for normal, _ in done], add_bos=True, add_eos=True, num_threads=1)
-        return [Encoded(x, *self.spans(normal, origin, x)) for (normal, origin), x in zip(done, ids, strict=True)]
+        return [self.encode_one(text) for text in texts]
+
+    def encode_one(self, text: str) -> Encoded:
+        """One text at a time: the alignment has eight bytes for each of its bytes."""
+        normal, origin = self.normalise(text.encode())
+        ids = self.segmenter.encode(normal.decode(), add_bos=True, add_eos=True)
+        return Encoded(ids, *self.spans(normal, origin, ids))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return [self.library.decode(x) for x in ids]

@@ -133,7 +133,7 @@ def asked_windows(docs: DataFrame, answers: DataFrame) -> DataFrame:
         return work
 
     kind = dict(docs.dtypes)["doc_id"]
-    own = docs.join(answers.where("size(asks) > 0").select("doc_id", "key", "asks").hint("merge"), ["doc_id", "key"])
+    own = docs.join(answers.where("size(asks) > 0").select("doc_id", "key", "asks").hint("shuffle_hash"), ["doc_id", "key"])
     found = map_batches(own.select("doc_id", "key", "text", "asks"), make, f"doc_id {kind}, key bigint, at array<int>, h0 array<bigint>, h1 array<bigint>")
     return found.select("doc_id", "key", F.explode(F.arrays_zip("at", "h0", "h1")).alias("w")).select("doc_id", "key", "w.*")
 
@@ -187,7 +187,9 @@ def parsed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     windows = written(asked_windows(docs, answers), "windows")
     first = windows.groupBy("h0", "h1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h0", "h1", "first")
     late = windows.join(written(first, "first"), ["h0", "h1"]).where("doc_id > first").groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"))
-    return docs.join(answers.select("doc_id", "key", "copies").join(late, ["doc_id", "key"], "full"), ["doc_id", "key"], "left").select("doc_id", "text", "copies", "starts")
+    told = answers.select("doc_id", "key", "copies").join(late, ["doc_id", "key"], "full")
+    # The texts' side is not sorted: what a partition's texts were told is the hash table.
+    return docs.join(told.hint("shuffle_hash"), ["doc_id", "key"], "left").select("doc_id", "text", "copies", "starts")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

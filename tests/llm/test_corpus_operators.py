@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -120,7 +121,9 @@ def test_simhash_against_brute_force(spark, monkeypatch, list_rows):
             assert (r["fingerprint"], r["component_id"]) == (f"{fps[r['doc_id']]:016x}", roots[r["doc_id"]])
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("local", [0, 30, 10_000])
+def test_components_of_a_long_chain(spark, monkeypatch, local):
+    monkeypatch.setattr(simhash, "LOCAL_LINKS", local)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 51)], "a long, b long")
     assert {(r["node"], r["root"]) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(41)} | {(50, 50), (51, 50)}
 
@@ -302,9 +305,11 @@ def five_word_sets(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-@pytest.mark.parametrize("list_rows", [50, 3])
-def test_similar_groups_against_brute_force(spark, monkeypatch, list_rows):
+@pytest.mark.parametrize("list_rows, block_rows, long_set", [(50, 1000, 1000), (3, 1000, 20), (3, 2, 1000)])
+def test_similar_groups_against_brute_force(spark, monkeypatch, list_rows, block_rows, long_set):
     monkeypatch.setattr(similar, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(similar, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(similar, "LONG_SET", long_set)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     texts = [None, "", " ", "one two", "One  two", "one two three"]
@@ -325,6 +330,18 @@ def test_similar_groups_against_brute_force(spark, monkeypatch, list_rows):
     assert all((got[i] == got[j]) == (root[i] == root[j]) for i in range(len(sets)) for j in range(i))
 
 
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 100])
+def test_lists_of_one_set_go(step):
+    rng = random.Random(step)
+    rows = sorted((rng.randrange(30), rng.randrange(3)) for _ in range(60))
+    sets = defaultdict(set)
+    for of, sig in rows:
+        sets[of].add(sig)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[at : at + step], strict=True)], names=["list", "sig"]) for at in range(0, 60, step)]
+    got = [(r["list"], r["sig"]) for b in similar.shared(iter(batches)) for r in b.to_pylist()]
+    assert got == sorted((of, sig) for of, s in sets.items() if len(s) > 1 for sig in s)
+
+
 def test_near_duplicates_stage_takes_near_copies(spark, tmp_path):
     import corpus_pipeline as c
 
