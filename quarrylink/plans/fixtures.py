@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylink.sources import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+    return scratch.once(spark, "entities", sf_dir, lambda: derived(spark, sf_dir))
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The first piece may be empty and the last is the rest of the text, which is not split.
+    words = F.filter(F.slice(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+", 20), 1, 19), lambda x: x != "")
     source = F.when(F.col("doc_id") % 5 == 0, "S1-").when((F.col("doc_id") % 5).isin(1, 2), "S2-").otherwise("S3-")
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("w"), source.alias("s"))
     join = lambda a, n: F.array_join(F.slice("w", a, n), " ")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 ROWS_A_FILE, LEAST_FILES = 10_000, 8
 #: Tables that this process has written and not yet deleted.
 PATHS: set[str] = set()
+#: Path and schema of the tables of ``once``.
+KNOWN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +45,17 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(spark: SparkSession, name: str, of: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that every query of one application derives alike from ``of`` (a data folder): written at its first use."""
+    key = (spark.sparkContext.applicationId, name, of)
+    if key not in KNOWN:
+        made = make()
+        KNOWN[key] = (new_path(spark, name), made.schema)
+        made.write.parquet(KNOWN[key][0])
+    path, schema = KNOWN[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def delete(spark: SparkSession, paths: set[str]) -> None:
     """Delete written tables that no later step reads."""
     jvm = spark.sparkContext._jvm
