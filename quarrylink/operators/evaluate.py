@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,7 +32,7 @@ def query_scores(c: DataFrame, rule: str = "canonical") -> DataFrame:
     """Adds precision, recall, f05.
 
     canonical: empty truth scores 1 if nothing is predicted, else 0.  lenient: nothing predicted has precision 1,
-    an empty truth recall 1.  Both are per query; ``matched_only`` first drops queries without truth.
+    an empty truth recall 1, over the queries that have a candidate (give only those).  Both are per query; ``matched_only`` first drops queries without truth.
     """
     if rule == "matched_only":
         c = c.where("n_true > 0")
@@ -66,19 +68,49 @@ def smallest_k(table: DataFrame, recall: float = 0.99) -> DataFrame:
     return table.where(F.col("recall") >= recall).agg(F.min("k").alias("k"))
 
 
-def sweep(queries: DataFrame, truth: DataFrame, scored: DataFrame, grid: list[tuple[float, ...]], columns: list[str], rule: str = "canonical") -> DataFrame:
-    """Macro scores at every grid point, in one pass: a pair counts where each column reaches its threshold."""
-    spark = queries.sparkSession
-    names = [f"t{i}" for i in range(len(columns))]
-    points = F.broadcast(spark.createDataFrame([tuple(map(float, g)) for g in grid], ", ".join(f"{n} double" for n in names)))
-    n_true = queries.select("query_id").distinct().join(truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_true")), "query_id", "left").na.fill(0)
-    flagged = scored.join(truth.withColumn("hit", F.lit(1)), ["query_id", "candidate_id"], "left").na.fill(0, ["hit"])
-    passed = flagged.crossJoin(points)
-    for n, c in zip(names, columns, strict=True):
-        passed = passed.where(F.round(c, 9) >= F.col(n))
-    per = passed.groupBy(*names, "query_id").agg(F.count(F.lit(1)).alias("n_pred"), F.sum("hit").alias("n_hit"))
-    every = n_true.crossJoin(points).join(per, [*names, "query_id"], "left").na.fill(0)
-    return query_scores(every, rule).groupBy(*names).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f05").alias("f05"))
+def sweep(queries: DataFrame, truth: DataFrame, scored: DataFrame, grid: list[tuple[float, ...]], columns: list[str], rule: str = "canonical", strict: bool = False) -> DataFrame:
+    """Macro scores at every grid point: a pair counts where each column reaches its threshold (exceeds it if ``strict``).
+
+    A query's pairs, bounded by the k of the retrieval, are one row; each task adds up the scores of its queries at
+    all grid points, so that neither pairs nor queries are multiplied by the grid.  Scores count to nine digits.
+    """
+    names, g = [f"t{i}" for i in range(len(columns))], len(grid)
+    points = np.array(grid, float)
+    n_true = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_true"))
+    flagged = scored.join(truth.withColumn("hit", F.lit(1.0)), ["query_id", "candidate_id"], "left")
+    pairs = flagged.groupBy("query_id").agg(F.flatten(F.collect_list(F.array(F.coalesce("hit", F.lit(0.0)), *[F.round(F.col(c).cast("double"), 9) for c in columns]))).alias("pairs"))
+    rows = queries.select("query_id").distinct().join(n_true, "query_id", "left").join(pairs, "query_id", "left")
+    rows = rows.select(F.coalesce("n_true", F.lit(0)).cast("double").alias("n_true"), F.coalesce("pairs", F.array().cast("array<double>")).alias("pairs"))
+
+    def add(batches):
+        sums, n = np.zeros((3, g)), 0
+        for batch in batches:
+            for t, flat in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.array(flat, float).reshape(-1, len(columns) + 1)
+                over = found[None, :, 1:] > points[:, None] if strict else found[None, :, 1:] >= points[:, None]
+                passed = over.all(axis=2)
+                sums += scores_of(t, passed.sum(axis=1), passed @ found[:, 0], rule)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(g, dtype=np.int32)), *[pa.array(x) for x in sums], pa.array(np.full(g, n))], names=["point", "p", "r", "f", "n"])
+
+    told = rows.mapInArrow(add, "point int, p double, r double, f double, n bigint").groupBy("point")
+    told = told.agg(*[(F.sum(c) / F.sum("n")).alias(name) for c, name in (("p", "precision"), ("r", "recall"), ("f", "f05"))])
+    named = queries.sparkSession.createDataFrame([(i, *map(float, x)) for i, x in enumerate(grid)], "point int, " + ", ".join(f"{n} double" for n in names))
+    return told.join(F.broadcast(named), "point").select(*names, "precision", "recall", "f05")
+
+
+def scores_of(t: float, p: np.ndarray, h: np.ndarray, rule: str) -> np.ndarray:
+    """Precision, recall and F0.5 of one query with ``t`` true ids, for many counts of predicted ids and hits; see ``query_scores``."""
+    nothing = 1.0 if rule == "lenient" or not t else 0.0
+    precision = np.where(p == 0, nothing, h / np.maximum(p, 1))
+    recall = h / t if t else np.ones(len(p)) if rule == "lenient" else (p == 0).astype(float)
+    down = 0.25 * precision + recall
+    f = np.where(down > 0, 1.25 * precision * recall / np.where(down > 0, down, 1), 0.0)
+    if not t:
+        f = np.where(p == 0, 1.0, f if rule == "lenient" else 0.0)
+    elif rule != "lenient":
+        f = np.where(p == 0, 0.0, f)
+    return np.stack([precision, recall, f])
 
 
 def best(table: DataFrame, score: str = "f05", by: str = "t0") -> DataFrame:

@@ -132,9 +132,10 @@ def bm25(corpus: DataFrame, id_col: str, text: Column, k1: float = 1.5, b: float
     return counts.join(idf, "term").select("id", "term", weight.alias("weight"))
 
 
-def save(index: Index, path: str) -> None:
+def save(index: Index, path: str, by: tuple[str, ...] = ()) -> None:
+    """``by``: kept columns, such as the country, that the postings are partitioned by."""
     index.idf.write.mode("overwrite").parquet(f"{path}/idf")
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+    index.postings.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/postings")
 
 
 def load(spark, path: str, config: IndexConfig) -> Index:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import QuantileDiscretizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,24 +46,46 @@ def keep_first(df: DataFrame, key: str, order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def shuffled(key: str, seed: int = 42) -> Column:
+    """What random orders go by: the MD5 digest of the key and the seed, which any engine can compute."""
+    return F.md5(F.concat_ws(":", F.col(key), F.lit(seed)))
+
+
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly n rows (or all), the same ones on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(shuffled(key, seed), key).limit(n)
+
+
+def first_rows(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The n rows with the smallest keys: a prefix that does not depend on the order of files."""
+    return df.orderBy(key).limit(n)
+
+
+def sample_and_cut(df: DataFrame, n: int, first: int, key: str, seed: int = 42) -> DataFrame:
+    """n rows as in ``sample_exact``, with is_first for the first of them."""
+    chosen = sample_exact(df, n, key, seed)
+    ahead = chosen.select(key).orderBy(shuffled(key, seed), key).limit(first).select(F.col(key).alias("_k"), F.lit(True).alias("_first"))
+    return chosen.join(ahead, F.col(key) == F.col("_k"), "left").select(*df.columns, F.coalesce("_first", F.lit(False)).alias("is_first"))
 
 
-def benchmark_corpus(corpus: DataFrame, truth: DataFrame, noise: int, key: str = "entity_id") -> DataFrame:
-    """All true targets and ``noise`` other rows."""
+def benchmark_corpus(corpus: DataFrame, truth: DataFrame, noise: int, key: str = "entity_id", source: Column | None = None) -> DataFrame:
+    """All true targets and ``noise`` other rows, of each source where one is given (sources are few)."""
     targets = truth.select(F.col("candidate_id").alias(key)).distinct()
-    return corpus.join(targets, key, "left_semi").unionByName(sample_exact(corpus.join(targets, key, "left_anti"), noise, key))
+    rest = corpus.join(targets, key, "left_anti")
+    kinds = [None] if source is None else [r[0] for r in corpus.select(source.alias("s")).distinct().orderBy("s").collect()]
+    out = corpus.join(targets, key, "left_semi")
+    for kind in kinds:
+        out = out.unionByName(sample_exact(rest if source is None else rest.where(source.eqNullSafe(F.lit(kind))), noise, key))
+    return out.dropDuplicates([key])
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """Adds is_train: the first ``share`` of each class in hash order.
 
-    A class may be most of the table, so rows are ranked inside 1,024 ranges of the hash; the counts of the ranges
-    before, a table of 1,024 rows a class, are added to those ranks.
+    A class may be most of the table, so rows are ranked inside 4,096 ranges of the hash; the counts of the ranges
+    before, a table of 4,096 rows a class, are added to those ranks.
     """
-    rows = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_range", F.shiftright("_h", 54))
+    rows = df.withColumn("_h", shuffled(key, seed)).withColumn("_range", F.substring("_h", 1, 3))
     sizes = rows.groupBy(F.col(label).alias("_label"), "_range").agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy("_label")
     sizes = sizes.select("_label", F.col("_range").alias("_r"), (F.sum("_c").over(whole.orderBy("_range")) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("_n"))

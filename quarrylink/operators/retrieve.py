@@ -12,12 +12,17 @@ from pyspark.sql.window import Window
 
 RRF_BASE = 60
 MISSING_RANK = 999
+UNKNOWN = "UNKNOWN"
 
 
 def scores(queries: DataFrame, corpus: DataFrame, threshold: float = 0.0, on: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
-    """query_id, candidate_id, score of the pairs that share a term and reach the threshold."""
-    q = queries.select(F.col("id").alias("query_id"), "term", *on, F.col("weight").alias("wq"))
-    c = corpus.select(F.col("id").alias("candidate_id"), "term", *on, F.col("weight").alias("wc"))
+    """query_id, candidate_id, score of the pairs that share a term and reach the threshold.
+
+    With ``on``, pairs must agree in these columns; missing values are one bucket of their own, UNKNOWN.
+    """
+    bucket = [F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias(c) for c in on]
+    q = queries.select(F.col("id").alias("query_id"), "term", *bucket, F.col("weight").alias("wq"))
+    c = corpus.select(F.col("id").alias("candidate_id"), "term", *bucket, F.col("weight").alias("wc"))
     pairs = q.join(c, ["term", *on]).groupBy("query_id", "candidate_id").agg(F.sum(F.col("wq") * F.col("wc")).alias("score"))
     return pairs.where(F.col("score") > threshold if strict or not threshold else F.round("score", 9) >= threshold)
 
