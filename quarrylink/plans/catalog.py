@@ -69,7 +69,7 @@ def pairs_of(spark: SparkSession, sf: str, threshold: float = 0.15, config: inde
 
 
 def topk(spark: SparkSession, sf: str, k: int = 30) -> DataFrame:
-    return retrieve.top_k(pairs_of(spark, sf), k)
+    return scratch.once(spark, f"top{k}", sf, lambda: retrieve.top_k(pairs_of(spark, sf), k))
 
 
 def attached(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,7 +175,7 @@ def similarity_topk(spark, sf):
     return rounded(topk(spark, sf), "score")
 
 
-@query(f"WITH {ENT}, {postings_sql('w', BOTH, 0.15)}, {pairs_sql('w', 'p', 0.15, 'AND q.country = c.country')}, {top_sql('p', 'top', 15)} SELECT query_id, candidate_id, round(score, 6) AS score, rank FROM top")
+@query(f"WITH {ENT}, {postings_sql('w', BOTH, 0.15)}, {pairs_sql('w', 'p', 0.15, "AND coalesce(q.country, 'UNKNOWN') = coalesce(c.country, 'UNKNOWN')")}, {top_sql('p', 'top', 15)} SELECT query_id, candidate_id, round(score, 6) AS score, rank FROM top")
 def similarity_topk_by_country(spark, sf):
     built = index.build(fixtures.corpus(spark, sf), "entity_id", text(), keep=("country",))
     asked = built.transform(fixtures.queries(spark, sf), "entity_id", text(), ("country",))
@@ -388,9 +388,10 @@ def macro_f05(spark, sf):
     return rounded(evaluate.macro(evaluate.query_scores(counted)), "precision", "recall", "f05")
 
 
-@query(f"WITH {TOP}, {PRED}, {COUNTS}, s AS (SELECT *, CASE WHEN n_pred = 0 THEN 1.0 ELSE n_hit / n_pred END AS precision, CASE WHEN n_true = 0 THEN 1.0 ELSE n_hit / n_true END AS recall FROM cnt), f AS (SELECT *, CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 ELSE {FB.format(p='precision', r='recall')} END AS f05 FROM s) SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f05), 6) AS f05, count(*) AS queries FROM f")
+@query(f"WITH {TOP}, {PRED}, {COUNTS}, s AS (SELECT *, CASE WHEN n_pred = 0 THEN 1.0 ELSE n_hit / n_pred END AS precision, CASE WHEN n_true = 0 THEN 1.0 ELSE n_hit / n_true END AS recall FROM cnt WHERE query_id IN (SELECT query_id FROM top)), f AS (SELECT *, CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 ELSE {FB.format(p='precision', r='recall')} END AS f05 FROM s) SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f05), 6) AS f05, count(*) AS queries FROM f")
 def macro_f05_lenient(spark, sf):
-    counted = evaluate.counts(query_ids(spark, sf), fixtures.truth(spark, sf), predicted(spark, sf))
+    found = topk(spark, sf).select("query_id").distinct()
+    counted = evaluate.counts(found, fixtures.truth(spark, sf), predicted(spark, sf))
     return rounded(evaluate.macro(evaluate.query_scores(counted, "lenient")), "precision", "recall", "f05")
 
 
@@ -544,10 +545,13 @@ def mutual_information(spark, sf):
     return profile.mutual_information(labelled(spark, sf), "score")
 
 
-@query()
+NOISE = "(SELECT entity_id FROM (SELECT entity_id, row_number() OVER (PARTITION BY substr(entity_id, 1, 2) ORDER BY md5(entity_id || ':42'), entity_id) AS n FROM crp WHERE entity_id NOT IN (SELECT candidate_id FROM truth)) WHERE n <= 50)"
+
+
+@query(f"WITH {ENT} SELECT DISTINCT candidate_id AS entity_id FROM truth UNION ALL {NOISE}")
 def benchmark_corpus(spark, sf):
-    """All true targets and 100 other corpus rows in hash order."""
-    return profile.benchmark_corpus(fixtures.corpus(spark, sf), fixtures.truth(spark, sf), 100).select("entity_id")
+    """All true targets and 50 other corpus rows of each source in hash order."""
+    return profile.benchmark_corpus(fixtures.corpus(spark, sf), fixtures.truth(spark, sf), 50, source=F.substring("entity_id", 1, 2)).select("entity_id")
 
 
 @query(f"WITH {TOP} SELECT (SELECT count(*) FROM (SELECT query_id, candidate_id FROM top WHERE round(score, 9) >= 0.5 EXCEPT SELECT query_id, candidate_id FROM top)) AS outside")
@@ -740,8 +744,213 @@ def id_reader(spark, sf):
     return io.read_ids(spark, path)
 
 
-@query("SELECT lang, count(*) AS n, floor(0.8 * count(*))::BIGINT AS n_train FROM documents GROUP BY 1")
+@query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':42'), doc_id) <= 0.8 * count(*) OVER (PARTITION BY lang) AS is_train FROM documents")
 def stratified_split(spark, sf):
-    """Sizes of the split of documents by language."""
-    split = profile.stratified_split(fixtures.table(spark, sf, "documents"), "lang", "doc_id")
-    return split.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_train").cast("long")).alias("n_train"))
+    """The split of documents by language."""
+    return profile.stratified_split(fixtures.table(spark, sf, "documents"), "lang", "doc_id").select("doc_id", "is_train")
+
+
+# Samples, prefixes and vocabularies fitted on samples
+
+
+@query(f"WITH {ENT} SELECT entity_id, business_name FROM crp ORDER BY md5(entity_id || ':42'), entity_id LIMIT 60")
+def exact_sample(spark, sf):
+    return profile.sample_exact(fixtures.corpus(spark, sf), 60, "entity_id").select("entity_id", "business_name")
+
+
+@query(f"WITH {ENT} SELECT entity_id, n <= 35 AS is_first FROM (SELECT entity_id, row_number() OVER (ORDER BY md5(entity_id || ':42'), entity_id) AS n FROM qry) WHERE n <= 50")
+def sample_and_cut(spark, sf):
+    return profile.sample_and_cut(fixtures.queries(spark, sf), 50, 35, "entity_id").select("entity_id", "is_first")
+
+
+@query(f"WITH {ENT} SELECT entity_id, business_name FROM ent ORDER BY entity_id LIMIT 50")
+def first_rows(spark, sf):
+    return profile.first_rows(fixtures.entities(spark, sf), 50, "entity_id").select("entity_id", "business_name")
+
+
+FITTED = f"fit AS (SELECT * FROM (SELECT * FROM qry ORDER BY entity_id LIMIT 80) UNION ALL SELECT * FROM (SELECT * FROM crp ORDER BY entity_id LIMIT 80)), {postings_sql('w', BOTH, 0.35).replace('FROM crp', 'FROM fit')}"
+
+
+@query(f"WITH {ENT}, {FITTED} SELECT term, df, round(idf, 6) AS idf FROM w_idf")
+def sampled_vocabulary(spark, sf):
+    """A vocabulary fitted on the first rows of both sides, at the wider cut-off of 0.35."""
+    first = profile.first_rows(fixtures.queries(spark, sf), 80, "entity_id").unionByName(profile.first_rows(fixtures.corpus(spark, sf), 80, "entity_id"))
+    built = index.build(fixtures.corpus(spark, sf), "entity_id", text(), index.IndexConfig(max_df=0.35), fit_on=first)
+    return rounded(built.idf, "idf")
+
+
+@query(f"WITH {ENT}, {postings_sql('w', BOTH, 0.25)}, {pairs_sql('w', 'p', 0.3)}, {top_sql('p', 'top', 20)} SELECT query_id, candidate_id, round(score, 6) AS score, rank FROM top")
+def quarter_cut_topk(spark, sf):
+    """The index with terms in up to a quarter of the corpus."""
+    return rounded(retrieve.top_k(pairs_of(spark, sf, 0.3, index.IndexConfig(max_df=0.25)), 20), "score")
+
+
+WB5 = "flatten(list_transform(list_filter(string_split({0}, ' '), lambda x: x <> ''), lambda x: flatten(list_transform([2, 3, 4, 5], lambda n: list_transform(range(1, length(x) + 4 - n), lambda i: substr(' ' || x || ' ', i, n))))))"
+
+
+@query(f"WITH {ENT}, {postings_sql('w', 'business_name', 1.0, 2, WB5)}, {pairs_sql('w', 'p', 0.5)}, {top_sql('p', 'top', 10)} SELECT query_id, candidate_id, round(score, 6) AS score, rank FROM top")
+def name_view_topk(spark, sf):
+    """Sublinear grams of two to five characters inside words."""
+    return indexed(spark, sf, F.col("business_name"), index.NAME_VIEW, 0.5)
+
+
+# Further metrics and sweeps
+
+
+@query(f"WITH {TOP}, {PRED}, {COUNTS}, s AS (SELECT *, {CANON} FROM cnt WHERE n_true > 0), f AS (SELECT *, {CANON_F} FROM s) SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f05), 6) AS f05, count(*) AS queries FROM f")
+def macro_f05_matched_only(spark, sf):
+    counted = evaluate.counts(query_ids(spark, sf), fixtures.truth(spark, sf), predicted(spark, sf))
+    return rounded(evaluate.macro(evaluate.query_scores(counted, "matched_only")), "precision", "recall", "f05")
+
+
+@query(f"{LABELLED} SELECT label, count(*) AS n, CASE WHEN label = 1 THEN greatest(0.5 * (SELECT count(*) FROM lab WHERE label = 0) / greatest((SELECT count(*) FROM lab WHERE label = 1), 1), 1.0) ELSE 1.0 END AS weight FROM lab GROUP BY 1")
+def class_balance(spark, sf):
+    return match.class_weight(labelled(spark, sf)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
+
+
+@query(f"WITH {TOP} SELECT query_id, candidate_id, round(1 / (1 + exp(-(8 * score - 4))), 6) AS probability FROM top")
+def sigmoid_scores(spark, sf):
+    return rounded(topk(spark, sf).select("query_id", "candidate_id", match.sigmoid(8 * F.col("score") - 4).alias("probability")), "probability")
+
+
+def per_query_sql(points: str, test: str, keys: str, of: str = "qry") -> str:
+    """CTE f: counts, precision, recall and F0.5 of every query at every grid point."""
+    same = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    return (
+        f"g AS ({points}), hits AS (SELECT top.*, (t.query_id IS NOT NULL)::INT AS hit FROM top LEFT JOIN truth t ON t.query_id = top.query_id AND t.candidate_id = top.candidate_id), "
+        f"b AS (SELECT {keys}, query_id, count(*) AS n_pred, sum(hit) AS n_hit FROM hits CROSS JOIN g WHERE {test} GROUP BY ALL), nt AS (SELECT query_id, count(*) AS n FROM truth GROUP BY 1), "
+        f"a AS (SELECT {keys}, q.entity_id AS query_id, coalesce(nt.n, 0) AS n_true FROM {of} q CROSS JOIN g LEFT JOIN nt ON nt.query_id = q.entity_id), "
+        f"c AS (SELECT a.*, coalesce(b.n_pred, 0) AS n_pred, coalesce(b.n_hit, 0) AS n_hit FROM a LEFT JOIN b ON a.query_id = b.query_id AND {same})"
+    )
+
+
+ROUNDED_MEANS = "round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f05), 6) AS f05"
+STRICT = [round(0.2 + 0.05 * i, 2) for i in range(15)]
+
+
+@query(f"WITH {TOP}, {per_query_sql(f'SELECT unnest({STRICT})::DOUBLE AS t0', 'round(score, 9) > t0', 't0')}, s AS (SELECT *, {CANON} FROM c), f AS (SELECT *, {CANON_F} FROM s) SELECT t0, {ROUNDED_MEANS} FROM f GROUP BY 1")
+def strict_sweep(spark, sf):
+    """Thresholds that a score must exceed."""
+    return rounded(evaluate.sweep(query_ids(spark, sf), fixtures.truth(spark, sf), topk(spark, sf), [(t,) for t in STRICT], ["score"], strict=True), "precision", "recall", "f05")
+
+
+LENIENT = f"s AS (SELECT *, CASE WHEN n_pred = 0 THEN 1.0 ELSE n_hit / n_pred END AS precision, CASE WHEN n_true = 0 THEN 1.0 ELSE n_hit / n_true END AS recall FROM c), f AS (SELECT *, CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 ELSE {FB.format(p='precision', r='recall')} END AS f05 FROM s)"
+
+
+@query(f"WITH {TOP}, found AS (SELECT DISTINCT query_id AS entity_id FROM top), {per_query_sql(f'SELECT unnest({GRID})::DOUBLE AS t0', 'round(score, 9) >= t0', 't0', 'found')}, {LENIENT} SELECT t0, {ROUNDED_MEANS} FROM f GROUP BY 1")
+def lenient_sweep(spark, sf):
+    """The lenient rule over the queries that have a candidate."""
+    top = topk(spark, sf)
+    return rounded(evaluate.sweep(top.select("query_id"), fixtures.truth(spark, sf), top, [(t,) for t in GRID], ["score"], "lenient"), "precision", "recall", "f05")
+
+
+FINE = ([round(0.5 + 0.01 * i, 2) for i in range(46)], [round(0.02 * (i + 1), 2) for i in range(46)])
+
+
+@query(
+    f"WITH {TOP}, {per_query_sql(f'SELECT t0, t1 FROM (SELECT unnest({FINE[0]})::DOUBLE AS t0), (SELECT unnest({FINE[1]})::DOUBLE AS t1)', 'round(score, 9) >= t0 AND round(1.0 / rank, 9) >= t1', 't0, t1')}, s AS (SELECT *, {CANON} FROM c), f AS (SELECT *, {CANON_F} FROM s) SELECT t0, t1, {ROUNDED_MEANS} FROM f GROUP BY 1, 2"
+)
+def fine_grid_sweep(spark, sf):
+    """Two thresholds on a grid of 46 x 46 points."""
+    scored = topk(spark, sf).withColumn("inverse_rank", 1 / F.col("rank"))
+    return rounded(evaluate.sweep(query_ids(spark, sf), fixtures.truth(spark, sf), scored, [(a, b) for a in FINE[0] for b in FINE[1]], ["score", "inverse_rank"]), "precision", "recall", "f05")
+
+
+# Sources and sinks, each written and read again
+
+
+@query(f"WITH {ENT} SELECT entity_id, country FROM ent")
+def parquet_projection(spark, sf):
+    path = scratch.new_path(spark, "projection")
+    fixtures.entities(spark, sf).write.parquet(path)
+    return io.read_parquet(spark, path, ["entity_id", "country"])
+
+
+@query(f"WITH {ENT} SELECT entity_id, nullif(business_name, '') AS business_name FROM ent")
+def tsv_projection(spark, sf):
+    path = scratch.new_path(spark, "projection")
+    fixtures.entities(spark, sf).write.csv(path, sep="\t", header=True, quote="", emptyValue="")
+    return io.read_tsv(spark, path, columns=["entity_id", "business_name"])
+
+
+@query(f"WITH {ENT} SELECT entity_id, 'tsv' AS kind FROM qry UNION ALL SELECT entity_id, 'parquet' FROM crp")
+def either_format(spark, sf):
+    """Queries that only a TSV has, and a corpus that only a Parquet table has, read by their stems."""
+    path = scratch.new_path(spark, "either")
+    fixtures.queries(spark, sf).write.csv(f"{path}/queries.tsv", sep="\t", header=True, quote="", emptyValue="")
+    fixtures.corpus(spark, sf).write.parquet(f"{path}/corpus.parquet")
+    read = lambda stem, kind: io.read_either(spark, f"{path}/{stem}").select("entity_id", F.lit(kind).alias("kind"))
+    return read("queries", "tsv").unionByName(read("corpus", "parquet"))
+
+
+@query(f"WITH {ENT} SELECT entity_id, substr(entity_id, 1, 2) AS part FROM ent")
+def chunk_files(spark, sf):
+    """Tables written chunk by chunk and read as one."""
+    path = scratch.new_path(spark, "chunks")
+    for n, part in enumerate(("S1", "S2", "S3")):
+        fixtures.entities(spark, sf).where(F.col("entity_id").startswith(part)).withColumn("part", F.lit(part)).write.parquet(f"{path}/train_chunk_{n:03d}.parquet")
+    return io.read_parquet(spark, f"{path}/*", ["entity_id", "part"])
+
+
+@query(f"WITH {TOP}, {PRED}, {SIDES} SELECT query_id AS query, array_to_string(t, ',') AS true_matches, array_to_string(p, ',') AS tfidf_preds FROM e WHERE t <> p")
+def nested_errors(spark, sf):
+    """Errors with their lists as JSON, read again."""
+    lists = lambda df, name: df.groupBy("query_id").agg(F.array_sort(F.collect_list("candidate_id")).alias(name))
+    none = F.array().cast("array<string>")
+    rows = query_ids(spark, sf).join(lists(fixtures.truth(spark, sf), "t"), "query_id", "left").join(lists(predicted(spark, sf), "p"), "query_id", "left")
+    rows = rows.select(F.col("query_id").alias("query"), F.coalesce("t", none).alias("true_matches"), F.coalesce("p", none).alias("tfidf_preds"), none.alias("ce_preds")).where("true_matches <> tfidf_preds")
+    path = scratch.new_path(spark, "errors")
+    io.write_errors(rows, path)
+    read = io.read_errors(spark, path, lines=True)
+    return read.select("query", F.array_join("true_matches", ",").alias("true_matches"), F.array_join("tfidf_preds", ",").alias("tfidf_preds"))
+
+
+@query(f"WITH {ENT} SELECT entity_id, 1 AS block FROM qry UNION ALL SELECT entity_id, 2 FROM crp")
+def block_resume(spark, sf):
+    """Blocks 0 (empty), 1 (written twice) and 2, of which only the unfinished ones are left to do at each step."""
+    path = scratch.new_path(spark, "blocks")
+    blocks = spark.createDataFrame([(0,), (1,), (2,)], "block int")
+    rows = {0: fixtures.queries(spark, sf).limit(0), 1: fixtures.queries(spark, sf), 2: fixtures.corpus(spark, sf)}
+    io.append_block(rows[1].select("entity_id"), path, 1)
+    io.append_block(rows[1].select("entity_id"), path, 1)
+    while todo := io.unfinished(spark, blocks, path).orderBy("block").take(1):
+        io.append_block(rows[todo[0][0]].select("entity_id"), path, todo[0][0])
+    return spark.read.parquet(path).select("entity_id", "block")
+
+
+@query(f"WITH {ENT} SELECT entity_id, 'new' AS made FROM qry")
+def cache_guard(spark, sf):
+    """A cached table that lacks a column, or has another number of rows, is made again; a fresh one is not."""
+    path = scratch.new_path(spark, "cache")
+    ids = fixtures.queries(spark, sf).select("entity_id")
+    io.cached(spark, path, lambda: ids.limit(1))
+    io.cached(spark, path, lambda: ids.withColumn("made", F.lit("short")).limit(1), ["made"])
+    io.cached(spark, path, lambda: ids.withColumn("made", F.lit("new")), ["made"], rows=ids.count())
+    return io.cached(spark, path, lambda: ids.withColumn("made", F.lit("again")), ["made"], rows=ids.count())
+
+
+@query(f"WITH {TOP}, l AS (SELECT query_id, array_to_string(list(candidate_id ORDER BY round(score, 9) DESC, candidate_id), ',') AS ids FROM top WHERE round(score, 9) >= 0.5 GROUP BY 1) SELECT copy, entity_id AS source1_entity_id, ids AS matched_entity_ids FROM qry LEFT JOIN l ON entity_id = query_id, (SELECT unnest([1, 2]) AS copy)")
+def list_sink(spark, sf):
+    """The result lists at two paths, read again: no match is an empty field."""
+    out = match.matches(topk(spark, sf).withColumn("score", F.round("score", 9)), fixtures.queries(spark, sf), 0.5)
+    paths = [scratch.new_path(spark, "lists") for _ in range(2)]
+    io.write_lists(out, *paths)
+    read = lambda n: io.read_tsv(spark, paths[n - 1], io.TRUTH).withColumn("copy", F.lit(n))
+    return read(1).unionByName(read(2))
+
+
+@query("SELECT 0.42::DOUBLE AS written, 0.1::DOUBLE AS fallback")
+def threshold_store(spark, sf):
+    path = scratch.new_path(spark, "threshold")
+    io.write_threshold(spark, path, 0.42)
+    return spark.createDataFrame([(io.read_threshold(spark, path), io.read_threshold(spark, path + "-none"))], "written double, fallback double")
+
+
+@query(SQL["similarity_topk_by_country"])
+def stored_index_topk(spark, sf):
+    """``similarity_topk_by_country`` on an index that was saved by country and loaded."""
+    path = scratch.new_path(spark, "index")
+    index.save(index.build(fixtures.corpus(spark, sf), "entity_id", text(), keep=("country",)), path, ("country",))
+    held = index.load(spark, path, index.WORDS)
+    asked = held.transform(fixtures.queries(spark, sf), "entity_id", text(), ("country",))
+    return rounded(retrieve.top_k(retrieve.scores(asked, held.postings, 0.15, ("country",)), 15), "score")
