@@ -954,3 +954,16 @@ def stored_index_topk(spark, sf):
     held = index.load(spark, path, index.WORDS)
     asked = held.transform(fixtures.queries(spark, sf), "entity_id", text(), ("country",))
     return rounded(retrieve.top_k(retrieve.scores(asked, held.postings, 0.15, ("country",)), 15), "score")
+
+
+@query(f"WITH {ENT} SELECT count(*) AS queries, count(*) AS equal, true AS same_settings FROM qry")
+def stored_model_match(spark, sf):
+    """Fit, save, load and resolve: the lists of the loaded model are those of the model in the session."""
+    queries, path = fixtures.queries(spark, sf), scratch.new_path(spark, "model")
+    model = resolve.fit(queries, fixtures.corpus(spark, sf), fixtures.truth(spark, sf), resolve.Settings(by_country=True), trees=3)
+    resolve.save(model, path)
+    held = resolve.load(spark, path)
+    here, there = (resolve.resolve(queries, m)[0] for m in (model, held))
+    both = here.join(there.withColumnRenamed("matched_entity_ids", "again"), "source1_entity_id", "full")
+    same = (held.settings, held.threshold) == (model.settings, model.threshold)
+    return both.agg(F.count(F.lit(1)).alias("queries"), F.sum(F.col("matched_entity_ids").eqNullSafe(F.col("again")).cast("long")).alias("equal")).withColumn("same_settings", F.lit(same))

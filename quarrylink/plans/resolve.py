@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import json
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylink.functions import text as T
@@ -86,6 +87,24 @@ def fit(queries: DataFrame, corpus: DataFrame, truth: DataFrame, settings: Setti
     return Model(settings, built, corpus, model, best["t0"] if best else 0.1)
 
 
+def save(model: Model, path: str) -> None:
+    """Index, corpus, classifier, settings and threshold below ``path``, for another session to ``load``."""
+    spark = model.corpus.sparkSession
+    index.save(model.index, f"{path}/index", ("country",) if model.settings.by_country else ())
+    model.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    model.classifier.write().overwrite().save(f"{path}/classifier")
+    row = (json.dumps(asdict(model.settings)), float(model.threshold))
+    spark.createDataFrame([row], "settings string, threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    row = spark.read.schema("settings string, threshold double").json(f"{path}/settings").first()
+    told = json.loads(row["settings"])
+    config = index.IndexConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in told.pop("index").items()})
+    settings = Settings(config, **{k: tuple(v) if isinstance(v, list) else v for k, v in told.items()})
+    return Model(settings, index.load(spark, f"{path}/index", config), spark.read.parquet(f"{path}/corpus"), PipelineModel.load(f"{path}/classifier"), row["threshold"])
+
+
 def resolve(queries: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     """The result list and the candidate list; candidates are written once, so matches are always among them."""
     queries = written(normalised(queries), "queries")
