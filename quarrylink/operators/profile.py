@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,10 +130,16 @@ def correlations(df: DataFrame, features: list[str], least: float = 0.0) -> Data
     return row.select(table.alias("p")).select("p.*").where(F.col("corr") >= least)
 
 
-def mutual_information(df: DataFrame, feature: str, label: str = "label", bins: int = 10) -> DataFrame:
-    """Information between a feature in quantile bins and the label, in nats."""
-    binned = QuantileDiscretizer(numBuckets=bins, inputCol="v", outputCol="bin", relativeError=0.001).fit(df.select(F.col(feature).cast("double").alias("v"))).transform(df.select(F.col(feature).cast("double").alias("v"), F.col(label).alias("y")))
-    joint = binned.groupBy("bin", "y").agg(F.count(F.lit(1)).alias("c"))
+def mutual_information(df: DataFrame, feature: str, label: str = "label", bins: int = 10, digits: int = 6) -> DataFrame:
+    """Information between a feature in quantile bins and the label, in nats.
+
+    A bin is how many of the exact quantiles a value exceeds; values count to ``digits`` digits, which bounds the table
+    of distinct values that the quantiles need for features of a bounded range.
+    """
+    rows = df.select(F.round(F.col(feature).cast("double"), digits).alias("v"), F.col(label).alias("y")).where("v IS NOT NULL")
+    cuts = rows.agg(F.percentile("v", [i / bins for i in range(1, bins)])).first()[0] or []
+    above = sum(((F.col("v") > round(c, 9)).cast("int") for c in cuts), F.lit(0))
+    joint = rows.groupBy(above.alias("bin"), "y").agg(F.count(F.lit(1)).alias("c"))
     all_of = lambda *keys: F.sum("c").over(Window.partitionBy(*keys))
     cells = joint.select("c", all_of("bin").alias("cx"), all_of("y").alias("cy"), all_of(F.lit(1)).alias("n"))
     return cells.agg(F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cx") * F.col("cy")))).alias("mi")).select(F.lit(feature).alias("feature"), "mi")

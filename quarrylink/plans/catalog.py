@@ -540,9 +540,17 @@ def feature_corr(spark, sf):
     return rounded(profile.correlations(labelled(spark, sf), ["score", "rank", "label"]), "corr")
 
 
-@query()
+TENTHS = [i / 10 for i in range(1, 10)]
+
+
+@query(
+    f"{LABELLED}, v AS (SELECT round(score, 6) AS v, label FROM lab), q AS (SELECT list_transform(quantile_cont(v, {TENTHS}), lambda x: round(x, 9)) AS cuts FROM v), "
+    "j AS (SELECT len(list_filter(cuts, lambda x: v > x)) AS bin, label, count(*) AS c FROM v, q GROUP BY 1, 2), "
+    "m AS (SELECT c, sum(c) OVER (PARTITION BY bin) AS cx, sum(c) OVER (PARTITION BY label) AS cy, sum(c) OVER () AS n FROM j) "
+    "SELECT 'score' AS feature, round(sum(c / n * ln(c * n / (cx * cy))), 6) AS mi FROM m"
+)
 def mutual_information(spark, sf):
-    return profile.mutual_information(labelled(spark, sf), "score")
+    return rounded(profile.mutual_information(labelled(spark, sf), "score"), "mi")
 
 
 NOISE = "(SELECT entity_id FROM (SELECT entity_id, row_number() OVER (PARTITION BY substr(entity_id, 1, 2) ORDER BY md5(entity_id || ':42'), entity_id) AS n FROM crp WHERE entity_id NOT IN (SELECT candidate_id FROM truth)) WHERE n <= 50)"
