@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylink.sources.scratch import written
+
 
 @dataclass(frozen=True)
 class IndexConfig:
@@ -113,10 +115,13 @@ class Index:
 
 
 def build(corpus: DataFrame, id_col: str, text: Column, config: IndexConfig = WORDS, keep: tuple[str, ...] = (), fit_on: DataFrame | None = None) -> Index:
-    """An index of ``corpus``, with its vocabulary from ``fit_on`` (the corpus unless given)."""
-    counts = term_counts(corpus, id_col, text, config, keep)
+    """An index of ``corpus``, with its vocabulary from ``fit_on`` (the corpus unless given).
+
+    Term counts and vocabulary are written once: the weights, and each ``transform``, read them.
+    """
+    counts = written(term_counts(corpus, id_col, text, config, keep), "counts")
     base = corpus if fit_on is None else fit_on
-    idf = fit_idf(counts.drop(*keep) if fit_on is None else term_counts(fit_on, id_col, text, config), base.count(), config)
+    idf = written(fit_idf(counts.drop(*keep) if fit_on is None else term_counts(fit_on, id_col, text, config), base.count(), config), "idf")
     return Index(idf, weigh(counts, idf, config, keep), config)
 
 

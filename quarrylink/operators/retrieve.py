@@ -2,6 +2,10 @@
 
 A join is an equi-join on the term and a sum for each pair; thresholds come before the ranking, and
 ``row_number() <= k`` is planned as a partial and a final group limit.  Ties go to the smaller id.
+
+What a term costs is the product of its two posting lists, which bytes do not tell: a few MB of postings may give
+millions of pairs.  So the join gets as many tasks as its pairs need, and a term that would give one task more than
+CELL * CELL pairs is cut into cells of about CELL postings a side; each cell of one side meets each of the other.
 """
 
 from __future__ import annotations
@@ -10,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylink.sources.scratch import written
+
+#: Postings of one term and side that meet in one task, and pairs before the sum that a task is planned for.
+CELL, PAIRS_A_TASK = 4096, 10_000_000
 RRF_BASE = 60
 MISSING_RANK = 999
 UNKNOWN = "UNKNOWN"
@@ -21,12 +29,34 @@ def scores(queries: DataFrame, corpus: DataFrame, threshold: float = 0.0, on: tu
     With ``on``, pairs must agree in these columns; missing values are one bucket of their own, UNKNOWN.
     """
     bucket = [F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias(c) for c in on]
-    q = queries.select(F.col("id").alias("query_id"), "term", *bucket, F.col("weight").alias("wq"))
-    c = corpus.select(F.col("id").alias("candidate_id"), "term", *bucket, F.col("weight").alias("wc"))
-    pairs = q.join(c, ["term", *on]).groupBy("query_id", "candidate_id").agg(F.sum(F.col("wq") * F.col("wc")).alias("score"))
+    q = written(queries.select(F.col("id").alias("query_id"), "term", *bucket, F.col("weight").alias("wq")), "asked")
+    c = written(corpus.select(F.col("id").alias("candidate_id"), "term", *bucket, F.col("weight").alias("wc")), "held")
+    pairs = met(q, c, ["term", *on]).groupBy("query_id", "candidate_id").agg(F.sum(F.col("wq") * F.col("wc")).alias("score"))
     return pairs.where(F.col("score") > threshold if strict or not threshold else F.round("score", 9) >= threshold)
 
 
+def met(q: DataFrame, c: DataFrame, keys: list[str]) -> DataFrame:
+    """``q`` joined with ``c`` (both written) on ``keys``, in tasks of bounded work."""
+    spark = q.sparkSession
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    work = count(q, "nq").join(count(c, "nc"), keys).withColumn("hot", F.col("nq") * F.col("nc") > CELL * CELL)
+    total, hot = work.agg(F.sum(F.col("nq").cast("double") * F.col("nc")), F.count(F.when(F.col("hot"), 1))).first()
+    if hot:
+        cells = work.where("hot").select(*keys, F.ceil(F.col("nq") / CELL).alias("_ql_nq"), F.ceil(F.col("nc") / CELL).alias("_ql_nc"))
+        cells = written(cells, "cells", hot)
+
+        def cut(df: DataFrame, own: str, others: str, i: str, j: str, by: str) -> DataFrame:
+            at = F.coalesce(F.pmod(F.xxhash64(by), own), F.lit(0)).cast("bigint").alias(i)
+            every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(others) - 1, F.lit(0)).cast("bigint"))).alias(j)
+            return df.join(cells, keys, "left").select(*df.columns, at, every)
+
+        q, c = cut(q, "_ql_nq", "_ql_nc", "_ql_i", "_ql_j", "query_id"), cut(c, "_ql_nc", "_ql_nq", "_ql_j", "_ql_i", "candidate_id")
+        keys = [*keys, "_ql_i", "_ql_j"]
+    # Numbered partitions, which adaptive execution does not merge by their few bytes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((total or 0) / PAIRS_A_TASK) + 1)
+    return q.repartition(tasks, *keys).join(c.repartition(tasks, *keys), keys)
+
+
 def ranked(pairs: DataFrame, by: str = "query_id", other: str = "candidate_id", score: str = "score", rank: str = "rank") -> DataFrame:
     return pairs.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round(score, 9)), other)))
 

@@ -17,8 +17,9 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The first piece may be empty and the last is the rest of the text, which is not split.
-    words = F.filter(F.slice(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+", 20), 1, 19), lambda x: x != "")
+    # Two words more than are used: how a letter is lowered may depend on what follows it.  Lowering can only split words.
+    head = F.regexp_extract("text", r"^(?:[^\p{L}\p{N}_]*+[\p{L}\p{N}_]++){0,20}+", 0)
+    words = F.filter(F.split(F.lower(head), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
     source = F.when(F.col("doc_id") % 5 == 0, "S1-").when((F.col("doc_id") % 5).isin(1, 2), "S2-").otherwise("S3-")
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("w"), source.alias("s"))
     join = lambda a, n: F.array_join(F.slice("w", a, n), " ")

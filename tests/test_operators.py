@@ -35,6 +35,23 @@ def test_self_similarity_and_order(spark, entities):
     assert got[0]["score"] == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("keys", [(), ("country",)])
+def test_hot_terms_are_cut_without_loss(spark, monkeypatch, keys):
+    monkeypatch.setattr(retrieve, "CELL", 3)
+    monkeypatch.setattr(retrieve, "PAIRS_A_TASK", 20)
+    side = lambda name, n: [(f"{name}{i}", t, ("us", "fr", None)[i % 3], 1.0 + i) for i in range(n) for t in ("hot", f"t{i % 5}")]
+    asked, held = [*side("q", 17), ("q0", "hot", "us", 0.5)], side("c", 11)
+    frame = lambda rows: spark.createDataFrame(rows, "id string, term string, country string, weight double")
+    want = {}
+    for a in asked:
+        for b in held:
+            if a[1] == b[1] and (not keys or a[2] == b[2]):
+                want[a[0], b[0]] = want.get((a[0], b[0]), 0) + a[3] * b[3]
+    got = {(r["query_id"], r["candidate_id"]): r["score"] for r in retrieve.scores(frame(asked), frame(held), on=keys).collect()}
+    assert got == pytest.approx(want)
+    assert retrieve.scores(frame(asked).limit(0), frame(held), on=keys).count() == 0
+
+
 def test_partial_and_final_limit_in_plan(spark, entities):
     queries, corpus = split(entities)
     built = index.build(corpus, "entity_id", F.col("business_name"), index.IndexConfig(min_df=1, max_df=1.0))
