@@ -210,18 +210,29 @@ def examples(values: Column, n: int = 5) -> Column:
 def validate_lists(lists: DataFrame, required: DataFrame, valid: DataFrame, id_col: str = "source1_entity_id", list_col: str = "matched_entity_ids") -> DataFrame:
     """rule, n, examples for each rule of the result format; required and valid have entity_id."""
     rows = lists.select(F.col(id_col).alias("q"), F.filter(F.transform(F.split(F.coalesce(F.col(list_col), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "").alias("ids"))
+    return list_rules(rows, required, valid)
+
+
+def list_rules(rows: DataFrame, required: DataFrame, valid: DataFrame | None) -> DataFrame:
+    """rows: q and its ids.  Without ``valid`` no id is unknown."""
     ids = rows.select("q", F.explode("ids").alias("id"))
     need = required.select(F.col("entity_id").alias("q")).distinct()
-    known = valid.select(F.col("entity_id").alias("id")).distinct()
     found = {
         "duplicate_row": rows.groupBy("q").count().where("count > 1").select(F.col("q").alias("x")),
         "duplicate_in_list": rows.where(F.size("ids") != F.size(F.array_distinct("ids"))).select(F.col("q").alias("x")),
         "self_match": ids.where("id LIKE 'S1-%'").select(F.col("id").alias("x")).distinct(),
         "bad_prefix": ids.where(~F.col("id").rlike("^S[123]-")).select(F.col("id").alias("x")).distinct(),
-        "unknown_id": ids.where(F.col("id").rlike("^S[23]-")).select("id").distinct().join(known, "id", "left_anti").select(F.col("id").alias("x")),
         "missing_row": need.join(rows.select("q"), "q", "left_anti").select(F.col("q").alias("x")),
         "extra_row": rows.select("q").distinct().join(need, "q", "left_anti").select(F.col("q").alias("x")),
     }
+    if valid is not None:
+        known = valid.select(F.col("entity_id").alias("id")).distinct()
+        found["unknown_id"] = ids.where(F.col("id").rlike("^S[23]-")).select("id").distinct().join(known, "id", "left_anti").select(F.col("id").alias("x"))
+    return told(found)
+
+
+def told(found: dict[str, DataFrame]) -> DataFrame:
+    """rule, n, examples of tables that list each rule's offenders as x."""
     out = None
     for rule, bad in found.items():
         part = bad.agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", examples(F.col("x"))).alias("examples")).select(F.lit(rule).alias("rule"), "n", "examples")

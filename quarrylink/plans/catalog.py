@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylink.functions import similarity as S
 from quarrylink.functions import text as T
-from quarrylink.operators import evaluate, features, index, match, profile, retrieve
+from quarrylink.operators import evaluate, features, index, match, profile, retrieve, validate
 from quarrylink.plans import fixtures, resolve
 from quarrylink.sources import io, scratch
 
@@ -487,6 +487,46 @@ def validator_report(spark, sf):
     return evaluate.validate_lists(broken_lists(spark, sf), fixtures.queries(spark, sf), fixtures.corpus(spark, sf))
 
 
+def lines_file(spark, rows: DataFrame, header: str, name: str, extra: tuple[str, ...] = ()) -> str:
+    """A written file of a header, ``rows`` (an id and a list) and further lines, as they stand."""
+    body = rows.select(F.lit(1).alias("o"), F.concat(F.col(rows.columns[0]), F.lit("\t"), F.coalesce(F.col(rows.columns[1]), F.lit(""))).alias("line"))
+    others = spark.createDataFrame([(0, header), *[(2, x) for x in extra]], "o int, line string")
+    path = scratch.new_path(spark, name)
+    others.unionByName(body).repartitionByRange(1, "o").sortWithinPartitions("o").select("line").write.text(path)
+    return path
+
+
+FILE_RULES = [
+    ("duplicate_row", "SELECT q AS x FROM l GROUP BY q HAVING count(*) > 1"),
+    ("duplicate_in_list", "SELECT q AS x FROM l WHERE len(ids) <> len(list_distinct(ids))"),
+    ("self_match", "SELECT DISTINCT id AS x FROM e WHERE starts_with(id, 'S1-')"),
+    ("bad_prefix", "SELECT DISTINCT id AS x FROM e WHERE NOT regexp_matches(id, '^S[123]-')"),
+    ("unknown_id", "SELECT DISTINCT id AS x FROM e WHERE regexp_matches(id, '^S[23]-') AND id NOT IN (SELECT entity_id FROM crp)"),
+    ("missing_row", "SELECT entity_id AS x FROM qry WHERE entity_id NOT IN (SELECT q FROM l)"),
+    ("extra_row", "SELECT DISTINCT q AS x FROM l WHERE q NOT IN (SELECT entity_id FROM qry)"),
+    ("malformed_row", "SELECT 'a row without a tab' AS x"),
+]
+
+
+@query(
+    LISTS
+    + ", e AS (SELECT q, unnest(ids) AS id FROM l), r AS ("
+    + " UNION ALL ".join(rule_sql(*r) for r in FILE_RULES)
+    + ") SELECT 'error' AS level, 'matching' AS file, * FROM r WHERE n > 0 UNION ALL SELECT 'warning' AS level, 'matching' AS file, * FROM ("
+    + rule_sql("not_in_candidates", "SELECT DISTINCT q AS x FROM e WHERE q = 'S1-0'")
+    + ") UNION ALL SELECT 'error', 'candidate', * FROM ("
+    + rule_sql("malformed_row", "SELECT 'a row without a tab' AS x")
+    + ")"
+)
+def file_validation(spark, sf):
+    """The broken lists as a result file, the true ones, of every query, as its candidate file."""
+    matching = lines_file(spark, broken_lists(spark, sf), "source1_entity_id\tmatched_entity_ids", "matching", ("a row without a tab", "  "))
+    true = lines_file(spark, fixtures.truth_lists(spark, sf), "Source1_Entity_ID\tcandidate_entity_ids", "candidate", ("a row without a tab",))
+    required = scratch.new_path(spark, "required")
+    fixtures.queries(spark, sf).write.csv(required, sep="\t", header=True)
+    return validate.validate_files(spark, matching, true, required, fixtures.corpus(spark, sf))
+
+
 def wrong_sql(name: str, least: float) -> str:
     side = f"(SELECT query_id, candidate_id FROM top WHERE round(score, 9) >= {least})"
     return f"{name} AS (SELECT DISTINCT query_id FROM ((SELECT * FROM {side} EXCEPT SELECT * FROM truth) UNION ALL (SELECT * FROM truth EXCEPT SELECT * FROM {side})))"

@@ -70,3 +70,28 @@ def test_written_tables_are_deleted(spark):
     assert df.count() == 3 and io.exists(spark, path)
     scratch.delete(spark, {path})
     assert not io.exists(spark, path) and scratch.PATHS == before
+
+
+def test_result_files(spark, tmp_path):
+    from quarrylink.operators import validate
+
+    (tmp_path / "need.tsv").write_text("entity_id\tname\nS1-1\tx\nS1-2\ty\n")
+    need, header = str(tmp_path / "need.tsv"), "source1_entity_id\tmatched_entity_ids\n"
+
+    def found(data, **others):
+        path = tmp_path / "m.tsv"
+        path.write_bytes(data if isinstance(data, bytes) else data.encode())
+        report = validate.validate_files(spark, str(path), others.get("candidate"), need, others.get("valid"))
+        return {(r["level"][0], r["file"][0], r["rule"], r["n"]) for r in report.collect()} - {("w", "m", "ids_not_checked", 1)}, validate.passes(report)
+
+    assert found(header + "S1-1\tS2-1,S3-1\r\nS1-2\t \n\n") == (set(), True)
+    assert found("") == ({("e", "m", "empty_file", 1)}, False)
+    assert found(header.replace("\t", ",")) == ({("e", "m", "comma_separated", 1)}, False)
+    assert found("a\tb\n") == ({("e", "m", "unexpected_header", 1)}, False)
+    assert found(header + "S1-1\tS2-1, S2-2,\nS1-2\t\n")[0] == {("e", "m", "bad_prefix", 2)}
+    # Only the first line is the header.
+    assert found(header + header + "S1-1\t\nS1-2\t\n")[0] == {("e", "m", "extra_row", 1), ("e", "m", "bad_prefix", 1)}
+    assert found(header.encode() + b"S1-1\t\nS1-2\t\nx\xff\n")[0] == {("e", "m", "malformed_row", 1), ("e", "m", "not_utf8", 1)}
+    assert found(header + "S1-1\t\nS1-2\t\n", candidate=str(tmp_path / "none.tsv")) == ({("w", "c", "file_not_found", 1)}, True)
+    assert not validate.passes(validate.validate_files(spark, str(tmp_path / "none.tsv"), None, need))
+    assert [r["file"] for r in validate.validate_files(spark, need, None, str(tmp_path / "none.tsv")).collect()] == ["required"]
