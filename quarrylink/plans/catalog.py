@@ -277,6 +277,36 @@ def pair_jaro_winkler(spark, sf):
     return rounded(attached(spark, sf).select("query_id", "candidate_id", S.jaro_winkler(a, b).alias("name_jw")), "name_jw")
 
 
+CHARS = "list_transform(range(1, length({0}) + 1), lambda i: [unicode(substr({0}, i, 1))])"
+#: Rows of the subsequence table, one a character of a: entry j + 1 belongs to the first j characters of b.
+COMMON = (
+    f"list_reduce({CHARS.format('a')}, lambda r, c: list_reduce(list_transform(range(1, len(bs) + 1), lambda j: [greatest(r[j + 1], r[j] + (bs[j][1] = c[1])::INT)]), "
+    "lambda row, x: list_append(row, greatest(row[-1], x[1])), [0]), list_transform(range(0, len(bs) + 1), lambda j: 0))[-1]"
+)
+EDIT = f"""{PAIR},
+t AS (SELECT *, list_sort(x) AS xs, list_sort(y) AS ys, list_sort(list_distinct(x)) AS dx, list_sort(list_distinct(y)) AS dy FROM (SELECT query_id, candidate_id, qn, cn, {SPLIT.format("qn")} AS x, {SPLIT.format("cn")} AS y FROM j)),
+u AS (SELECT *, list_filter(dx, lambda w: list_contains(dy, w)) AS i, list_filter(dx, lambda w: NOT list_contains(dy, w)) AS ox, list_filter(dy, lambda w: NOT list_contains(dx, w)) AS oy FROM t),
+v AS (SELECT *, array_to_string(i, ' ') AS shared, array_to_string(list_concat(i, ox), ' ') AS one, array_to_string(list_concat(i, oy), ' ') AS two FROM u),
+w AS (
+  SELECT query_id, candidate_id, 'ratio' AS k, qn AS a, cn AS b FROM v
+  UNION ALL SELECT query_id, candidate_id, 'sort', array_to_string(xs, ' '), array_to_string(ys, ' ') FROM v
+  UNION ALL SELECT query_id, candidate_id, 'set', one, two FROM v
+  UNION ALL SELECT query_id, candidate_id, 'set', shared, one FROM v WHERE shared <> ''
+  UNION ALL SELECT query_id, candidate_id, 'set', shared, two FROM v WHERE shared <> ''
+),
+d AS (SELECT a, b, CASE WHEN a = '' AND b = '' THEN 1.0 ELSE 2.0 * {COMMON} / (length(a) + length(b)) END AS ratio FROM (SELECT *, {CHARS.format("b")} AS bs FROM (SELECT DISTINCT a, b FROM w))),
+g AS (SELECT query_id, candidate_id, max(CASE WHEN k = 'ratio' THEN ratio END) AS ratio, max(CASE WHEN k = 'sort' THEN ratio END) AS token_sort, max(CASE WHEN k = 'set' THEN ratio END) AS token_set FROM w JOIN d USING (a, b) GROUP BY 1, 2)
+SELECT query_id, candidate_id, round(CASE WHEN qn = '' OR cn = '' THEN 0.0 ELSE ratio END, 6) AS ratio, round(CASE WHEN qn = '' OR cn = '' THEN 0.0 ELSE token_sort END, 6) AS token_sort,
+  round(CASE WHEN qn = '' OR cn = '' THEN 0.0 WHEN len(i) > 0 AND (len(ox) = 0 OR len(oy) = 0) THEN 1.0 ELSE token_set END, 6) AS token_set
+FROM v JOIN g USING (query_id, candidate_id)"""
+
+
+@query(EDIT)
+def pair_edit_ratios(spark, sf):
+    a, b = "q_business_name", "c_business_name"
+    return rounded(attached(spark, sf).select("query_id", "candidate_id", S.indel_ratio(a, b).alias("ratio"), S.token_sort_ratio(a, b).alias("token_sort"), S.token_set_ratio(a, b).alias("token_set")), "ratio", "token_sort", "token_set")
+
+
 @query()
 def pair_indel_family(spark, sf):
     a, b = "q_business_name", "c_business_name"
