@@ -277,6 +277,35 @@ def pair_jaro_winkler(spark, sf):
     return rounded(attached(spark, sf).select("query_id", "candidate_id", S.jaro_winkler(a, b).alias("name_jw")), "name_jw")
 
 
+PLAIN = "regexp_replace({0}, '[^a-z0-9 ]', '', 'g')"
+BIGRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
+
+
+def soft_sql(a: str, b: str) -> tuple[str, str]:
+    """Jaro with a prefix's share at any score, and the bigram Jaccard of sorted tokens, of two columns."""
+    prefix = f"len(list_filter(range(1, least(4, length({a}), length({b})) + 1), lambda i: substr({a}, 1, i) = substr({b}, 1, i)))"
+    jaro = f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 ELSE jaro_similarity({a}, {b}) + 0.1 * {prefix} * (1 - jaro_similarity({a}, {b})) END"
+    grams = f"CASE WHEN s{a} = '' AND s{b} = '' THEN 1.0 WHEN s{a} = '' OR s{b} = '' THEN 0.0 WHEN s{a} = s{b} THEN 1.0 ELSE {JACCARD.format(BIGRAMS.format('s' + a), BIGRAMS.format('s' + b))} END"
+    return jaro, grams
+
+
+SOFT = ["name_jw", "name_tsr", "addr_jw", "addr_tsr"]
+SORTED = "array_to_string(list_sort(list_filter(string_split({0}, ' '), lambda x: x <> '')), ' ') AS s{0}"
+
+
+@query(
+    f"{PAIR}, k AS (SELECT query_id, candidate_id, {', '.join(f'{PLAIN.format(x)} AS {y}' for x, y in (('qn', 'a'), ('cn', 'b'), ('qa', 'c'), ('ca', 'd')))} FROM j), "
+    f"z AS (SELECT *, {', '.join(SORTED.format(x) for x in 'abcd')} FROM k) "
+    f"SELECT query_id, candidate_id, {', '.join(f'round({x}, 6) AS {n}' for x, n in zip(soft_sql('a', 'b') + soft_sql('c', 'd'), SOFT, strict=True))} FROM z"
+)
+def pair_soft_similarity(spark, sf):
+    """On ASCII letters and digits, as ``pair_jaro_winkler``."""
+    plain = attached(spark, sf)
+    plain = plain.withColumns({c: F.regexp_replace(c, "[^a-z0-9 ]", "") for c in plain.columns if c.endswith(("_name", "_address"))})
+    values = [f(f"q_business_{x}", f"c_business_{x}") for x in ("name", "address") for f in (S.jaro_winkler_ungated, lambda a, b: S.bigram_token_sort(F.col(a), F.col(b)))]
+    return rounded(plain.select("query_id", "candidate_id", *[v.alias(n) for v, n in zip(values, SOFT, strict=True)]), *SOFT)
+
+
 CHARS = "list_transform(range(1, length({0}) + 1), lambda i: [unicode(substr({0}, i, 1))])"
 #: Rows of the subsequence table, one a character of a: entry j + 1 belongs to the first j characters of b.
 COMMON = (
