@@ -62,7 +62,7 @@ def build_index(corpus: DataFrame, settings: Settings) -> index.Index:
 
 def candidates(queries: DataFrame, built: index.Index, settings: Settings) -> DataFrame:
     keep = ("country",) if settings.by_country else ()
-    pairs = retrieve.scores(built.transform(queries, "entity_id", search_text(), keep), built.postings, settings.threshold, keep)
+    pairs = retrieve.scores(built.transform(queries, "entity_id", search_text(), keep), built.postings, settings.threshold, keep, k=settings.k)
     return retrieve.top_k(pairs, settings.k)
 
 
@@ -125,14 +125,14 @@ def union_of_views(queries: DataFrame, corpus: DataFrame, k: int = 20, max_df: f
     unspaced = F.regexp_replace("name_lex", " ", "")
     views = {"name": (name, index.NAME_VIEW), "nospace": (unspaced, index.UNSPACED_VIEW), "address": (address, index.ADDRESS_VIEW), "hvt": (search_text(), index.IndexConfig(max_df=0.5))}
     cut = lambda config: replace(config, max_df=min(config.max_df, max_df))
-    pairs = {}
+    sides = {}
     for label, (text, config) in views.items():
         built = index.build(corpus, "entity_id", text, cut(config))
-        pairs[label] = retrieve.scores(built.transform(queries, "entity_id", text), built.postings, 0.01, strict=True)
-    ranked = {label: retrieve.top_k(p, k) for label, p in pairs.items()}
-    ranked["combo"] = retrieve.top_k(retrieve.combined(pairs["name"], pairs["address"]), k)
+        sides[label] = (built.transform(queries, "entity_id", text), built.postings)
+    ranked = {label: retrieve.top_k(retrieve.scores(*s, 0.01, strict=True, k=k), k) for label, s in sides.items()}
+    ranked["combo"] = retrieve.top_k(retrieve.combined_scores(sides["name"], sides["address"], 0.01, k), k)
     back = index.build(queries, "entity_id", name, cut(index.NAME_VIEW))
-    reverse = retrieve.scores(back.postings, back.transform(corpus, "entity_id", name), 0.01, strict=True)
+    reverse = retrieve.scores(back.postings, back.transform(corpus, "entity_id", name), 0.01, strict=True, k=10, best_of="candidate_id")
     ranked["reverse"] = retrieve.reverse_top_k(reverse, 10)
     return retrieve.rrf(ranked)
 

@@ -124,3 +124,45 @@ def test_stream_links_like_batch(spark, entities, tmp_path):
     got = {(r["query_id"], r["candidate_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r["query_id"], r["candidate_id"]) for r in resolve.candidates(resolve.normalised(queries), built, settings).collect()}
     assert got == want and got
+
+
+def test_best_pairs_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    """Each query's (and each candidate's) best k over blocks, with ties, against brute force; no product becomes a row."""
+    monkeypatch.setattr(retrieve, "CELL", 4)
+    side = lambda mark, n, m: [(f"{mark}{i:02}", t, float(1 + i % m)) for i in range(n) for t in ("hot", f"t{i % 3}")]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, term string, weight double")
+    first, second = [(side("q", 13, 2), side("c", 19, m)) for m in (2, 3)]
+
+    def brute(asked, held):
+        out = {}
+        for a, t, x in asked:
+            for b, u, y in held:
+                if t == u:
+                    out[a, b] = out.get((a, b), 0) + x * y
+        return out
+
+    def best(pairs, k, by):
+        groups = {}
+        for pair, score in pairs.items():
+            groups.setdefault(pair[by], []).append((-round(score, 9), pair[1 - by]))
+        return {(key, other): pytest.approx(-s) for key, found in groups.items() for s, other in sorted(found)[:k]}
+
+    q, c = map(frame, first)
+    pairs = retrieve.scores(q, c, 3.0, k=3)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and pairs.count() < len(brute(*first))
+    got = {(r["query_id"], r["candidate_id"]): r["score"] for r in retrieve.top_k(pairs, 3).collect()}
+    assert got == best({p: s for p, s in brute(*first).items() if s >= 3}, 3, 0)
+    got = {(r["candidate_id"], r["query_id"]): r["score"] for r in retrieve.reverse_top_k(retrieve.scores(q, c, 0.01, strict=True, k=3, best_of="candidate_id"), 3).collect()}
+    assert got == best(brute(*first), 3, 1)
+    one, two = ({p: s for p, s in brute(*x).items() if s > 2} for x in (first, second))
+    both = {p: 0.6 * one.get(p, 0) + 0.4 * two.get(p, 0) for p in {*one, *two}}
+    got = {(r["query_id"], r["candidate_id"]): r["score"] for r in retrieve.top_k(retrieve.combined_scores((q, c), tuple(map(frame, second)), 2.0, 3), 3).collect()}
+    assert got == best(both, 3, 0)
+
+
+def test_negative_products_are_pairs_too(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "id string, term string, weight double")
+    asked, held = frame([("q", "a", 1.0), ("q", "b", 1.0)]), frame([("c", "a", -2.0), ("d", "b", 1.0), ("d", "b", -1.0), ("e", "x", 1.0)])
+    got = {(r["candidate_id"], r["score"]) for r in retrieve.scores(asked, held, float("-inf"), k=5).collect()}
+    assert got == {("c", -2.0), ("d", 0.0)}
