@@ -1,13 +1,16 @@
 """The pipeline's form of ``simhash``: the Jaccard similarity of the sets of five-word shingles is 0.8 or more.
 
-Positional bytes cannot find such pairs whole: at a similarity of 0.8 about 15 % of a fingerprint's bits differ, ten
-of 64, so that no number of shared bytes is guaranteed.  Here single shingles take the place of the positional bytes.
+First comes SimHash, over five-word shingles: fingerprints, their index of positional bytes, the tally of shared bytes
+and the check of the bits are those of ``simhash``.  What it links is verified on the whole sets and makes the first
+groups.  It cannot find all such pairs: at a similarity of 0.8 about 15 % of a fingerprint's bits differ, ten of 64,
+so that no number of shared bytes is guaranteed.  An exact check follows for the sets that SimHash left in different
+groups.
 
 Words are those of ``simhash`` (split at white space, ASCII letters in lower case); a text of fewer than five words is
-one shingle.  Prefix filtering finds every such pair: two sets of this similarity share one of their first
+one shingle.  In the check, prefix filtering finds every pair: two sets of this similarity share one of their first
 n - ceil(0.8 n) + 1 shingles in any order that is the same for all texts.  Shingles that are frequent in a sample come
-last, which keeps the lists short; the sample decides the order alone and loses no pair.  Lists of up to LIST_ROWS
-sets give all their pairs.  Longer ones first pair each set with the smallest, and then, in blocks, all sets that are
+last, which keeps the lists short; the sample decides the order alone and loses no pair.  Lists whose sets are in one group are left out.
+Lists of up to LIST_ROWS sets give all their pairs of different groups.  Longer ones first pair each set with the smallest, and then, in blocks, all sets that are
 not yet in one group.  Pairs that the sizes, the places in the order or the parities of the sets rule out are not looked at; all
 others are verified on their whole sets, pair by pair in the join, so that no task gathers a list of sets.
 Shingles and sets are told apart by 64-bit hashes.
@@ -25,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylink.llm import simhash
 from quarrylink.llm.common import map_batches, parts, release, written
 from quarrylink.llm.simhash import components
 
@@ -88,6 +92,21 @@ def sets_similar() -> Column:
     return both * UNDER >= (F.size("p_hashes") + F.size("q_hashes") - both) * OVER
 
 
+def fingerprint_pairs(rows: DataFrame, n: int) -> DataFrame:
+    """a < b: the sets that SimHash links.
+
+    Each set of a fingerprint is paired with its smallest one, and of two fingerprints at ``simhash.DISTANCE`` or
+    fewer differing bits the smallest sets; links that others imply are left out.
+    """
+    sets = written(rows.select("fp", "sig").distinct(), "fingerprints", n)
+    least = written(sets.groupBy("fp").agg(F.min("sig").alias("least")), "fingerprints", n)
+    equal = sets.join(least, "fp").select(F.col("least").alias("a"), F.col("sig").alias("b"))
+    of = lambda key, name: least.select(F.col("fp").alias(key), F.col("least").alias(name))
+    near = simhash.links(least.select("fp")).join(of("a", "x"), "a").join(of("b", "y"), "b")
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return equal.unionByName(near).where("a < b").distinct()
+
+
 def frequent_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of what is frequent in a sample."""
     share = min(1.0, SAMPLE_ROWS / max(1, n))
@@ -230,26 +249,36 @@ def groups(texts: DataFrame) -> DataFrame:
     def make():
         def work(rows):
             sets = [shingles(x) for x in rows["text"]]
-            return {"key": rows["key"], "sig": [set_id(x) for x in sets], "n": [len(x) for x in sets], "prefix": [prefix(x, frequent, counts).view(np.int64) for x in sets], "parity": [parity(x) for x in sets]}
+            return {"key": rows["key"], "sig": [set_id(x) for x in sets], "n": [len(x) for x in sets], "fp": [simhash.fingerprint(x, SHINGLE) for x in rows["text"]], "prefix": [prefix(x, frequent, counts).view(np.int64) for x in sets], "parity": [parity(x) for x in sets]}
 
         return work
 
     kind = dict(texts.dtypes)["key"]
-    rows = written(map_batches(texts.select("key", "text"), make, f"key {kind}, sig bigint, n int, prefix array<bigint>, parity array<bigint>"), "prefixes")
+    rows = written(map_batches(texts.select("key", "text"), make, f"key {kind}, sig bigint, n int, fp bigint, prefix array<bigint>, parity array<bigint>"), "prefixes")
+    checked = lambda pairs: verified(each_pair(pairs, parities(rows), ["n", "parity"], few_bits_differ()), rows, texts, n)
+    links = written(checked(fingerprint_pairs(rows, n)), "links", n)
+    roots = components(links, rows=n)
+
     posts = rows.select("sig", "n", F.posexplode("prefix").alias("pos", "list")).select("list", "sig", "n", "pos")
     lists = written(posts.repartition("list").sortWithinPartitions("list", "sig").mapInArrow(shared, posts.schema), "posts", n)
-    lists = written(lists.join(lists.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("sig").alias("least")), "list"), "lists", n)
+    lists = grouped(lists, roots)
+    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("sig").alias("least"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    lists = written(lists.join(sizes.drop("low", "high"), "list"), "lists", n)
 
     short, long = lists.where(F.col("size") <= LIST_ROWS), lists.where(F.col("size") > LIST_ROWS)
-    first = pairs_of(short, short, F.col("x.sig") < F.col("y.sig"))
+    apart = F.col("x.group") != F.col("y.group")
+    first = pairs_of(short, short, apart & (F.col("x.sig") < F.col("y.sig")))
     if has_long := bool(long.take(1)):
-        first = first.unionByName(pairs_of(long, long.where("sig = least"), F.col("x.sig") != F.col("y.sig"))).distinct()
-    first = each_pair(first, parities(rows), ["n", "parity"], few_bits_differ())
-    links = written(verified(first, rows, texts, n), "links", n)
+        first = first.unionByName(pairs_of(long, long.where("sig = least"), apart)).distinct()
+    links = written(links.unionByName(checked(first)), "links", n)
     roots = components(links, rows=n)
     if has_long:
-        of = long.join(roots, long["sig"] == roots["node"], "left").select("list", "sig", "n", "pos", F.coalesce("root", "sig").alias("group"))
-        rest = written(block_pairs(of, rows), "pairs", n)
+        rest = written(block_pairs(grouped(long.drop("group"), roots), rows), "pairs", n)
         if rest.take(1):
             roots = components(links.unionByName(verified(rest, rows, texts, n)), rows=n)
     return rows.select("key", "sig").distinct().join(roots, F.col("sig") == F.col("node"), "left").select("key", F.coalesce("root", "sig").alias("root"))
+
+
+def grouped(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists' sets with their groups so far."""
+    return lists.join(roots, lists["sig"] == roots["node"], "left").select("list", "sig", "n", "pos", F.coalesce("root", "sig").alias("group"))

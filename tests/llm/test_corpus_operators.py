@@ -330,6 +330,18 @@ def test_similar_groups_against_brute_force(spark, monkeypatch, list_rows, block
     assert all((got[i] == got[j]) == (root[i] == root[j]) for i in range(len(sets)) for j in range(i))
 
 
+def test_similar_groups_begin_with_simhash(spark, monkeypatch):
+    exact = similar.pairs_of
+    monkeypatch.setattr(similar, "pairs_of", lambda *x: exact(*x).limit(0))
+    words, often = [f"w{i}" for i in range(400)], [f"r{i}" for i in range(11)] * 200
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join([*often, *words[:50]]), " ".join([*often, *words[100:150]])]
+    prints = [simhash.fingerprint(x, similar.SHINGLE) for x in texts]
+    assert all((prints[i] ^ prints[i + 1]).bit_count() <= simhash.DISTANCE for i in (0, 2))
+    got = {r["key"]: r["root"] for r in similar.groups(spark.createDataFrame(list(enumerate(texts)), "key int, text string")).collect()}
+    # The last two have near fingerprints and unlike sets.
+    assert got[0] == got[1] and len(set(got.values())) == 3
+
+
 @pytest.mark.parametrize("step", [1, 2, 3, 7, 100])
 def test_lists_of_one_set_go(step):
     rng = random.Random(step)
