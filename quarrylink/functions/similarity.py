@@ -137,12 +137,37 @@ def token_set(a: str, b: str) -> float:
 
 
 def partial(a: str, b: str) -> float:
-    """Best ratio of the shorter text against any stretch of the longer one that is no longer than it."""
+    """Best ratio of the shorter text against any stretch of the longer one that is no longer than it.
+
+    A stretch is only looked at if the characters it has in common with the shorter text, in any order, allow a better ratio.
+    """
     if not a or not b:
         return 0.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    n = len(short)
-    return max(indel(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)) if long[max(0, i) : i + n])
+    if short in long:
+        return 1.0
+    n, m = len(short), len(long)
+    at: dict[str, int] = {}
+    for i, c in enumerate(short):
+        at[c] = at.get(c, 0) | 1 << i
+    masks, full = [at.get(c, 0) for c in long], (1 << n) - 1
+    # How many of each character the stretch lacks (below zero: has too many), and how many it has in common.
+    lacks, common, best = {c: x.bit_count() for c, x in at.items()}, 0, 0.0
+    for i in range(1 - n, m):
+        begin, end = max(0, i), min(m, i + n)
+        if i + n <= m and masks[end - 1]:
+            lacks[long[end - 1]] -= 1
+            common += lacks[long[end - 1]] >= 0
+        if begin and masks[begin - 1]:
+            common -= lacks[long[begin - 1]] >= 0
+            lacks[long[begin - 1]] += 1
+        if 2 * common / (n + end - begin) > best:
+            state = full
+            for x in masks[begin:end]:
+                hit = state & x
+                state = (state + hit | state - hit) & full
+            best = max(best, 2 * (n - state.bit_count()) / (n + end - begin))
+    return best
 
 
 def pair_function(f, empty: float = 0.0):

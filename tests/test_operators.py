@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylink.functions import similarity
 from quarrylink.operators import evaluate, index, match, profile, retrieve
-from quarrylink.plans import resolve
+from quarrylink.plans import catalog, resolve
 from quarrylink.sources import io
 from quarrylink.streaming import incremental
 
@@ -190,3 +191,16 @@ def test_classes_say_what_their_pairs_say(spark):
 
     assert told(classes) == told(classes.pairs().persist())
     assert 0 < evaluate.wrong(ids, classes, predicted).count() < 11
+
+
+def test_names_are_compared_once(spark, monkeypatch):
+    """Pairs of equal names share one comparison, and each keeps its own row; a missing name is empty."""
+    columns = "query_id string, candidate_id string, q_business_name string, c_business_name string"
+    rows = [(f"q{i}", f"c{j}", ("blue whale", "harbor", None)[i % 3], ("blue wale", "old harbor")[j % 2]) for i in range(6) for j in range(4)]
+    monkeypatch.setattr(catalog, "attached", lambda spark, sf: spark.createDataFrame(rows, columns))
+    got = catalog.pair_indel_family(spark, "")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("ArrowEvalPython") :]
+    of = lambda f, a, b: f(a, b) if a and b else 0.0
+    functions = (similarity.indel, similarity.token_sort, similarity.token_set, similarity.partial)
+    assert sorted(map(tuple, got.collect())) == sorted((q, c, *(of(f, a, b) for f in functions)) for q, c, a, b in rows)

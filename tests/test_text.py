@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +52,12 @@ def test_edit_distances():
 def test_number_match(spark):
     match = S.number_match(F.col("a"), F.col("b"))
     assert [one(spark, match, a=x, b=y) for x, y in (("1 a", "1 b"), ("1 a", "2 b"), ("a", "2 b"), ("a", "b"))] == [1, 0, 0.5, 1]
+
+
+def test_partial_ratio_against_all_stretches():
+    rng = random.Random(3)
+    for _ in range(2000):
+        a, b = ("".join(rng.choices(letters, k=rng.randint(0, 12))) for letters in ("abc ", "abcd "))
+        short, long = sorted((a, b), key=len)
+        want = [S.indel(short, long[max(0, i) : i + len(short)]) for i in range(1 - len(short), len(long))]
+        assert S.partial(a, b) == (max(want) if short else 0)
