@@ -28,7 +28,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylink.llm.common import id_and_text, map_batches, parts, release
+from quarrylink.llm.common import id_and_text, in_small_batches, map_batches, parts, release
 
 ERROR_RATE = 0.1
 EDIT_CHARS = 20
@@ -206,6 +206,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             del matcher
             release()
 
-        return rows.mapInArrow(keep, docs.schema)
+        return in_small_batches(rows).mapInArrow(keep, docs.schema)
 
     return reduce(kept, slices(benchmark, item_id_col, item_text_col), docs)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylink.llm import simhash
-from quarrylink.llm.common import map_batches, parts, release, written
+from quarrylink.llm.common import in_small_batches, map_batches, parts, release, written
 from quarrylink.llm.simhash import components
 
 SHINGLE = 5
@@ -234,7 +234,7 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, n: int) -> Dat
         release()
 
     kind = dict(texts.dtypes)["key"]
-    sets = texts.select("key", bucket.alias("bucket"), F.col("text").cast("string")).mapInArrow(make, f"key {kind}, n int, wide array<bigint>, hashes array<bigint>")
+    sets = in_small_batches(texts.select("key", bucket.alias("bucket"), F.col("text").cast("string"))).mapInArrow(make, f"key {kind}, n int, wide array<bigint>, hashes array<bigint>")
     # Rows of equal texts have equal sets, of which one is kept.
     sets = written(asked.join(sets, "key").dropDuplicates(["key"]).select("sig", "n", "wide", "hashes"), "sets", n)
     pairs = written(each_pair(pairs, sets, ["n", "wide"], few_wide_bits_differ()), "pairs", n)

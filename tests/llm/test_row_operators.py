@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from quarrylink.llm import langid, quality, secrets, sp_offsets, toxicity
+from quarrylink.llm.common import ARROW_BYTES, ARROW_KEY, in_small_batches, map_batches
 from quarrylink.llm.queries import op5_secrets, op8_sentencepiece, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -21,6 +22,30 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sp
 ODD = [(1, "the cat sat on the mat", "en", None, None, "x", "y"), (2, None, None, None, None, None, None), (3, "", "en", "s", 0, "", ""), (None, "le chat est sur la table", "fr", "s", 1, "", ""), (5, "12 34 !?", "en", "s", 2, "", ""), (1, "the cat sat on the mat", "en", None, None, "x", "y"), (7, "word " * 50_000, "en", "s", 3, "", ""), (8, "x" * 30_000, "en", "s", 3, "", "")]
 
 
+def test_a_worker_takes_few_bytes_at_once(spark):
+    # The first row is over the bound by itself and comes whole.
+    sizes = [3 * ARROW_BYTES] + [10_000] * 2000 + [500_000] * 20
+    rows = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int").coalesce(1).selectExpr("doc_id", "repeat('x', n) AS text")
+
+    def make():
+        return lambda part: {"doc_id": part["doc_id"], "rows": [len(part["text"])] * len(part["text"]), "size": [len(x) for x in part["text"]], "total": [sum(map(len, part["text"]))] * len(part["text"])}
+
+    found = map_batches(rows, make, "doc_id long, rows int, size int, total int").collect()
+    assert [r["size"] for r in sorted(found)] == sizes
+    assert max(r["total"] for r in found if r["rows"] > 1) <= ARROW_BYTES + 500_000
+
+
+def test_a_lower_bound_of_the_session_stays(spark):
+    before = spark.conf.get(ARROW_KEY)
+    try:
+        spark.conf.set(ARROW_KEY, "1000b")
+        in_small_batches(spark.range(1))
+        assert spark.conf.get(ARROW_KEY) == "1000b"
+    finally:
+        spark.conf.set(ARROW_KEY, before)
+
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     return spark.createDataFrame(ODD, SCHEMA)
